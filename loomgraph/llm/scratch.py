@@ -1,0 +1,35 @@
+"""Work tables in the folder that all executors share.
+
+``spark.checkpoint.dir`` names that folder on a cluster. Only a session that
+leaves it unset (tests) gets a folder of its own.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="loomgraph-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage is cut there
+    and a lost executor costs no recomputation of what came before. The files
+    go when the driver's JVM ends; a result that is still lazy may read them."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
