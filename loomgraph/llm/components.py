@@ -1,0 +1,35 @@
+"""Connected components of a table of links, without a driver-side graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.llm.scratch import table
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (a, b): a row (node, component) for each node that occurs, component
+    being the least node it is linked to over any path. Large-star and small-star
+    rounds: every round each node's neighbours are hung below the least of them,
+    until all links are stars. A round shuffles the links twice; a chain of n
+    nodes takes about log n rounds."""
+    edges = table(links.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "links")  # v < u
+    while True:
+        # large star: of a node's neighbours the greater ones are hung below the least one (or the node)
+        both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).union(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
+        low = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"))
+        large = both.where("m > n").join(low.withColumnRenamed("n", "k"), F.col("n") == F.col("k")).select(F.col("low").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        # small star: a node and its lesser neighbours are hung below the least of these
+        large = table(large, "large")
+        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        joined = large.join(low.withColumnRenamed("u", "k"), F.col("u") == F.col("k"))
+        small = joined.select(F.col("low").alias("v"), F.col("v").alias("u")).where("v <> u").union(low.select(F.col("low").alias("v"), "u")).distinct()
+        after = table(small, "links")
+        # stars: no node is both above and below, and nothing changed
+        left = after.select("v").distinct().join(after.select(F.col("u").alias("x")).distinct(), F.col("v") == F.col("x"), "left_semi").limit(1).count()
+        multi = after.groupBy("u").count().where("count > 1").limit(1).count() if not left else 1
+        if not left and not multi:
+            break
+        edges = after
+    return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -7,13 +7,15 @@ of it by key. Keys come from a digest of the id, so reruns agree.
 
 The order within a source is never sorted as a whole: sizes are summed by
 (source, bin of key), a running sum over the bins finds the one bin in which the
-budget ends, and only that bin's documents are sorted.
+budget ends, and only that bin's documents and the next FILL are sorted, for the
+last (key, id, size) that goes in. A large document that would exceed the budget
+is passed over and the next ones that fit take what is left. What each source takes is a row; the documents meet it in a
+second pass over the texts, which do not shuffle while these rows are few.
 
 Nulls and ties. A null text has size 0 and the least weight. A null source is a
 source, the last. A null id draws the key of the word "null". Equal keys go by
-id, then size; rows alike in all are interchangeable, each taken on its own. A
-source without words has target 0. Only id, source and text are read of the
-input, so other columns may have any name.
+id, then size; rows alike in all three go in together. A source without words
+has target 0.
 """
 
 from __future__ import annotations
@@ -24,36 +26,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from loomgraph.llm.scratch import table
 from loomgraph.llm.textvec import slices, texts, words
 
 BINS = 4096
+#: Documents after a budget's end that are looked at for what is left of it.
+FILL = 64
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC2:] = True  # one for each code point beyond ASCII
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = texts(batch.column("__text"))
-        size = np.zeros(len(offsets) - 1, np.int64)
-        letters, chars = size.copy(), size.copy()
-        for i, j in slices(offsets):
-            raw, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            size[i:j] = np.diff(words(data, offsets[i : j + 1])[1])
-            for out, mask in ((letters, _LETTER[raw]), (chars, (raw & 0xC0) != 0x80)):
-                total = np.concatenate([[0], np.cumsum(mask)])
-                out[i:j] = total[cut[1:]] - total[cut[:-1]]
-        weight = 0.25 + 0.75 * letters / np.maximum(chars, 1)
-        yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__source"), pa.array(size), pa.array(weight)], ["__id", "__source", "__size", "__weight"])
+def _measure(text_col: str, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts(batch.column(text_col))
+            size = np.zeros(len(offsets) - 1, np.int64)
+            letters, chars = size.copy(), size.copy()
+            for i, j in slices(offsets):
+                raw, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                size[i:j] = np.diff(words(data, offsets[i : j + 1])[1])
+                for out, mask in ((letters, _LETTER[raw]), (chars, (raw & 0xC0) != 0x80)):
+                    total = np.concatenate([[0], np.cumsum(mask)])
+                    out[i:j] = total[cut[1:]] - total[cut[:-1]]
+            new = {"size": pa.array(size), "__weight": pa.array(0.25 + 0.75 * letters / np.maximum(chars, 1))}
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in names], names)
 
+    return run
 
-def measured(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """__id, __source, __size (words) and __weight: a quality weight from 0.25 to 1,
-    by the share of letters in the text."""
-    slim = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text"))
-    kinds = dict(slim.dtypes)
-    return slim.mapInArrow(_measure, f"__id {kinds['__id']}, __source {kinds['__source']}, __size bigint, __weight double")
+
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with size (words) and __weight: a quality weight from 0.25 to 1, by the
+    share of letters in the text."""
+    schema = StructType([*docs.drop("size").schema.fields, StructField("size", LongType()), StructField("__weight", DoubleType())])
+    return docs.drop("size").mapInArrow(_measure(text_col, schema.names), schema)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -81,35 +88,41 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """A row for each document: id_col, source_col, size, source_size, target (of
-    its source), copies (how often the mix has it) and taken (copies * size)."""
-    draw = (F.conv(F.substring(F.sha2(F.coalesce(F.col("__id").cast("string"), F.lit("null")), 256), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    base = table(
-        measured(docs, id_col, source_col, text_col)
-        .withColumn("__key", -F.log(draw) / F.col("__weight"))
-        .withColumn("__bin", F.floor((1 - F.exp(-F.col("__key"))) * BINS).cast("int"))
-        .drop("__weight"),
-        "mix",
-    )
-    targets = source_targets(base.groupBy("__source").agg(F.sum("__size").alias("__total")), weights, most)
+    """docs with size, source_size, target (of its source), copies (how often the
+    mix has it) and taken (copies * size); columns of those names are replaced."""
+    draw = (F.conv(F.substring(F.sha2(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), 256), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        rows = measured(rows, text_col).withColumn("__key", -F.log(draw) / F.col("__weight")).drop("__weight")
+        return rows.withColumn("__bin", F.floor((1 - F.exp(-F.col("__key"))) * BINS).cast("int"))
+
+    docs = docs.drop("size", "source_size", "target", "copies", "taken")
+    base = table(drawn(docs.select(id_col, source_col, text_col)).select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), "size", "__key", "__bin"), "mix")
+    targets = source_targets(base.groupBy("__source").agg(F.sum("size").alias("__total")), weights, most)
     spent = targets.withColumn("__epochs", F.when(F.col("__total") > 0, F.floor(F.col("__target") / F.col("__total"))).otherwise(F.lit(0)).cast("int"))
-    spent = spent.withColumn("__rest", F.col("__target") - F.col("__epochs") * F.col("__total"))
-    bins = base.groupBy("__source", "__bin").agg(F.sum("__size").alias("__in")).withColumnRenamed("__source", "__s")
-    running = bins.withColumn("__after", F.sum("__in").over(Window.partitionBy("__s").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)))
-    ends = spent.join(running, F.col("__source").eqNullSafe(F.col("__s")), "left").where(F.col("__s").isNotNull() | F.col("__source").isNull())
-    hit = (F.col("__after") > F.col("__rest")) & (F.col("__after") - F.col("__in") <= F.col("__rest"))
-    ends = ends.groupBy(F.col("__source").alias("__s")).agg(
-        *(F.first(c).alias(c) for c in ("__total", "__target", "__epochs", "__rest")),
-        F.coalesce(F.max(F.when(hit, F.col("__bin"))), F.lit(BINS)).alias("__cut"),
-        F.coalesce(F.max(F.when(hit, F.col("__after") - F.col("__in"))), F.lit(0)).alias("__before"),
-    )
-    ends = table(ends, "targets")
-    joined = base.join(ends, F.col("__source").eqNullSafe(F.col("__s")))
-    sure = joined.where(F.col("__bin") != F.col("__cut")).withColumn("__more", (F.col("__bin") < F.col("__cut")).cast("int"))
-    order = Window.partitionBy("__source").orderBy("__key", "__id", "__size")
-    edge = joined.where(F.col("__bin") == F.col("__cut")).withColumn("__sum", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumn("__more", (F.col("__before") + F.col("__sum") - F.col("__size") / 2 <= F.col("__rest")).cast("int")).drop("__sum")
-    copies = F.col("__epochs") + F.col("__more")
-    return sure.unionByName(edge).select(
-        F.col("__id").alias(id_col), F.col("__source").alias(source_col), F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken")
-    )
+    spent = spent.withColumn("__rest", F.col("__target") - F.col("__epochs") * F.col("__total")).withColumnRenamed("__source", "__s")
+    bins = base.groupBy("__source", "__bin").agg(F.sum("size").alias("__in"), F.count("*").alias("__docs"))
+    running = bins.withColumn("__after", F.sum("__in").over(Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)))
+    # the one bin of a source in which its budget ends, and the bins after it with the next FILL documents
+    by_bin = Window.partitionBy("__s").orderBy("__bin")
+    after = running.join(spent, F.col("__source").eqNullSafe(F.col("__s"))).where("__after > __rest and __rest > 0")
+    after = after.withColumn("__met", F.sum("__docs").over(by_bin.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__first", F.min("__bin").over(Window.partitionBy("__s")))
+    zone = table(after.where((F.col("__bin") == F.col("__first")) | (F.coalesce("__met", F.lit(0)) < FILL)).select("__s", "__rest", "__bin", "__first", (F.col("__after") - F.col("__in")).alias("__before")).withColumnRenamed("__bin", "__b"), "zone")
+    order = Window.partitionBy("__source").orderBy("__key", "__id", "size")
+    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("__source")
+    edge = base.join(zone, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b"))).withColumn("__start", F.min("__before").over(own))
+    edge = edge.withColumn("__in", F.col("__start") + F.sum("size").over(up_to) <= F.col("__rest"))
+    edge = edge.withColumn("__gap", F.col("__rest") - F.col("__start") - F.sum(F.when(F.col("__in"), F.col("size")).otherwise(0)).over(own))
+    # what is left of the budget goes to the next documents that fit into it
+    edge = edge.withColumn("__fits", ~F.col("__in") & (F.col("size") <= F.col("__gap")))
+    edge = edge.withColumn("__fill", F.col("__fits") & (F.sum(F.when(F.col("__fits"), F.col("size")).otherwise(0)).over(up_to) <= F.col("__gap")))
+    place = F.struct("__key", "__id", "size")
+    limits = edge.groupBy(F.col("__source").alias("__e")).agg(F.max(F.when(F.col("__in"), place)).alias("__edge"), F.max(F.when(F.col("__fill"), place)).alias("__last"), F.max("__gap").alias("__gap"), F.min("__first").alias("__cut"))
+    plan = table(spent.join(limits, F.col("__s").eqNullSafe(F.col("__e")), "left").select("__s", "__total", "__target", "__epochs", "__cut", "__edge", "__last", "__gap"), "plan")
+    out = drawn(docs).join(plan, F.col(source_col).eqNullSafe(F.col("__s")))
+    place = F.struct(F.col("__key"), F.col(id_col).alias("__id"), F.col("size"))
+    more = F.coalesce(F.col("__bin") < F.col("__cut"), F.lit(False)) | F.coalesce(place <= F.col("__edge"), F.lit(False)) | F.coalesce((place <= F.col("__last")) & (F.col("size") <= F.col("__gap")), F.lit(False))
+    more = more.cast("int")
+    out = out.withColumn("copies", F.col("__epochs") + more)
+    return out.select(*docs.columns, "size", F.col("__total").alias("source_size"), F.col("__target").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -21,6 +21,36 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("targets").cast("long").alias("loss_chars"), F.sha2("targets", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import quality
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = quality.fit(docs, _read(spark, sf_dir, "labels").where(~held_out))
+    return quality.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import langid
+
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import fingerprints
+
+    return fingerprints.fingerprint_pairs(_read(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import decontam
+
+    return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from loomgraph.llm import tokens
@@ -32,7 +62,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import mixing
 
-    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,4 +78,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op6_token_counts, op7_source_mix, op8_line_dedup, op9_license_scan)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import neardup
+
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_quality, op3_language, op4_fingerprints, op5_benchmark_leaks, op6_token_counts, op7_source_mix, op8_line_dedup, op9_license_scan, op10_near_duplicates)}

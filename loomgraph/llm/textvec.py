@@ -20,6 +20,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: What parts words where only digits, letters and characters beyond ASCII count.
+WORD_GAPS = np.ones(256, bool)
+WORD_GAPS[48:58] = WORD_GAPS[65:91] = WORD_GAPS[97:123] = WORD_GAPS[128:] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BYTE = np.random.RandomState(20240229).randint(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,15 +66,15 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit names of the words (runs without ASCII white space, A-Z folded),
-    the first word of each row, and where each word starts in data."""
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit names of the words (runs without a byte of gaps, by default ASCII
+    white space; A-Z folded), the first word of each row, and where each starts in data."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     raw = data[lo:hi]
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~gaps[raw]
     begins = np.zeros(n + 1, bool)
     begins[offsets[:-1] - lo] = True
     first = inside.copy()
