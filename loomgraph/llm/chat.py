@@ -64,15 +64,15 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         (s, p) -> if(size(s.a) = 0 or p.t0 + p.t - s.base > room, named_struct('a', concat(s.a, array(p.n)), 'base', p.t0), s), s -> if(size(s.a) = 0, array(s0 + 1), s.a))""")
     convs = convs.withColumn("a", starts)
     spans = convs.select("conv_id", "ts", "s0", F.size("a").alias("w_n"), F.posexplode("a").alias("w", "first"), F.col("a").alias("a"))
-    spans = spans.withColumn("last", F.when(F.col("w") + 1 < F.col("w_n"), F.expr("a[w + 1] - 1")).otherwise(F.size("ts"))).drop("a")
+    spans = spans.withColumn("last", F.when(F.col("w") + 1 < F.col("w_n"), F.expr("get(a, w + 1) - 1")).otherwise(F.size("ts"))).drop("a")
     # back: how many of the turns before the span are repeated
-    fits = " + ".join(f"if(w > 0 and first - {k} > s0 and ts[first - 1].t0 - ts[first - 1 - {k}].t0 <= {history}, 1, 0)" for k in range(1, history_turns + 1)) or "0"
+    fits = " + ".join(f"if(w > 0 and first - {k} > s0 and get(ts, first - 1).t0 - get(ts, first - 1 - {k}).t0 <= {history}, 1, 0)" for k in range(1, history_turns + 1)) or "0"
     spans = spans.withColumn("back", F.expr(fits))
-    spans = spans.withColumn("lead", F.expr("if(w > 0 and s0 = 1, length(ts[0].r), 0)")).withColumn("from", F.expr("if(w = 0, 1, first - back)"))
+    spans = spans.withColumn("lead", F.expr("if(w > 0 and s0 = 1, length(get(ts, 0).r), 0)")).withColumn("from", F.expr("if(w = 0, 1, first - back)"))
     body = F.expr("array_join(transform(slice(ts, from, last - from + 1), p -> p.r), '')")
-    text = F.concat(F.expr("if(lead > 0, ts[0].r, '')"), body)
-    loss = F.expr("transform(filter(slice(ts, if(w = 0, 1, first), last - if(w = 0, 1, first) + 1), p -> p.goal), p -> named_struct('start', cast(lead + p.c0 - ts[from - 1].c0 + p.h as int), 'length', cast(p.k as int)))")
-    n_tokens = F.expr("if(lead > 0, ts[0].t, 0L) + if(last >= from, ts[last - 1].t0 + ts[last - 1].t - ts[from - 1].t0, 0L)")
+    text = F.concat(F.expr("if(lead > 0, get(ts, 0).r, '')"), body)
+    loss = F.expr("transform(filter(slice(ts, if(w = 0, 1, first), last - if(w = 0, 1, first) + 1), p -> p.goal), p -> named_struct('start', cast(lead + p.c0 - get(ts, from - 1).c0 + p.h as int), 'length', cast(p.k as int)))")
+    n_tokens = F.expr("if(lead > 0, get(ts, 0).t, 0L) + if(last >= from, get(ts, last - 1).t0 + get(ts, last - 1).t - get(ts, from - 1).t0, 0L)")
     return spans.select(
         "conv_id", F.col("w").alias("window"), text.alias("text"), F.expr("last - if(w = 0, 1, first) + 1").alias("n_turns"), F.expr("if(w > 0, s0 + back, 0)").alias("n_repeated"), n_tokens.alias("n_tokens"), loss.alias("loss")
     )

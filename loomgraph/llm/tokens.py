@@ -54,12 +54,13 @@ def model_encoder(path: str) -> tuple[Encoder, Callable[[list[str]], list[int]]]
     model = SentencePieceProcessor(model_file=path)
 
     def one(text: str) -> tuple[int, list[tuple[int, int]]]:
-        pieces = model.encode(text, out_type="immutable_proto").pieces
-        out = []
+        pieces = model.encode(text, return_type="proto").pieces
+        out, at = [], 0  # the library counts bytes
         for k, p in enumerate(pieces):
-            at = p.begin + len(p.surface) - len(p.surface.lstrip())
-            if k and p.piece.startswith("▁") and p.surface[:1] == " " and at < p.end:
-                out.append((at, k))
+            word = p.surface.lstrip()
+            if k and p.piece.startswith("▁") and p.surface[:1] == " " and word:
+                out.append((at + len(p.surface) - len(word), k))
+            at += len(p.surface)
         return len(pieces), out
 
     return one, lambda many: [len(x) for x in model.encode(many, num_threads=1)]
