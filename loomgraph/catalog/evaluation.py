@@ -13,7 +13,7 @@ from loomgraph.operators import evaluate, overlay, scores
 
 
 @query("""select c_nationkey, count(*) as customers, count(*) filter (c_mktsegment = 'BUILDING') as builders, bool_or(c_acctbal < 0) as any_debt, bool_or(c_acctbal > 9990) as any_rich, case when count(*) = 0 then 'empty' when count(*) < 50 then 'low' when count(*) < 70 then 'medium' else 'high' end as size_band,
-case when count(*) < 50 then 1.0 when count(*) < 70 then 2.0 else 3.0 end as complexity_band_score from customer group by 1""")
+(case when count(*) < 50 then 1.0 when count(*) < 70 then 2.0 else 3.0 end)::double as complexity_band_score from customer group by 1""")
 def group_analysis(spark, d) -> DataFrame:
     n = F.count("*")
     return read(spark, d, "customer").groupBy("c_nationkey").agg(

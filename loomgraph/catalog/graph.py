@@ -129,11 +129,11 @@ def edge_weights(spark, d) -> DataFrame:
     return w.groupBy(F.when(F.col("has_guard"), "F").otherwise("O").alias("l_linestatus")).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query("select 'Order:' || l_orderkey || '->Part:' || l_partkey as edge_id, round(0.5 * (1 + arg_max(l_discount, l_linenumber)), 6) as weight from lineitem where l_linestatus = 'O' and l_returnflag = 'A' group by 1")
+@query("select 'Order:' || l_orderkey || '->Part:' || l_partkey as edge_id, round(0.5 * (1 + arg_max(l_discount, l_linenumber * 1000 + l_discount)), 6) as weight from lineitem where l_linestatus = 'O' and l_returnflag = 'A' group by 1")
 def batch_edge_weights(spark, d) -> DataFrame:
     line = read(spark, d, "lineitem").where("l_linestatus = 'O' and l_returnflag = 'A'")
-    e = line.select(F.lit(None).cast("string").alias("id"), F.lit("uses").alias("type"), key("Order", "l_orderkey").alias("source"), key("Part", "l_partkey").alias("target"), F.col("l_discount").alias("risk_score"), "l_linenumber")
-    return T.batch_weights(e, "l_linenumber").select("edge_id", F.round("weight", 6).alias("weight"))
+    e = line.select(F.lit(None).cast("string").alias("id"), F.lit("uses").alias("type"), key("Order", "l_orderkey").alias("source"), key("Part", "l_partkey").alias("target"), F.col("l_discount").alias("risk_score"), (F.col("l_linenumber") * 1000 + F.col("l_discount")).alias("place"))
+    return T.batch_weights(e, "place").select("edge_id", F.round("weight", 6).alias("weight"))
 
 
 @query("""select source, round(sum(share), 6) as total, round(max(share), 6) as largest from (select l_orderkey as source, (1 + l_discount) / sum(1 + l_discount) over (partition by l_orderkey) as share from lineitem) group by 1""")
