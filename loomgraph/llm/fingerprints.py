@@ -30,7 +30,7 @@ from loomgraph.llm.textvec import _BYTE, mix
 LEVELS = (3, 4)
 KEPT = 64
 #: Bytes of text parsed at a time; a longer text is parsed alone.
-GROUP_BYTES = 1 << 19
+GROUP_BYTES = 1 << 17
 _U = np.uint64
 _MEX = np.array([0, 1, 0, 2, 0, 1, 0, 3], np.uint8)  # least of 0, 1, 2 that a mask of neighbours leaves
 
