@@ -27,12 +27,16 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from loomgraph.llm.grams import dense, drawn, row_counts, sparse_rows
 from loomgraph.llm.textvec import gram_counts, texts
+from loomgraph.llm.workers import ready
 
 PER_LANGUAGE = 800
 BUCKETS = 4096
 SIZES = (1, 2, 3, 4)
 WIDTH = 16
-EPOCHS = 12
+EPOCHS = 16
+RATE = 0.3
+#: Added to a subword's deviation: rare subwords count for less in short texts.
+DAMP = 0.02
 BATCH = 32
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
@@ -56,34 +60,44 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
 
+def _descend(x: np.ndarray, y: np.ndarray, classes: int, rate: float, rng) -> tuple[np.ndarray, np.ndarray]:
+    """Stochastic gradient descent on embeddings and softmax; their product, and the bias."""
+    embed = rng.normal(0, 0.05, (x.shape[1], WIDTH)).astype(np.float32)
+    soft = rng.normal(0, 0.1, (WIDTH, classes)).astype(np.float32)
+    bias = np.zeros(classes, np.float32)
+    with np.errstate(all="ignore"):  # a rate that is too high shows in the result
+        for epoch in range(EPOCHS):
+            step = rate * (1 - epoch / EPOCHS)
+            order = rng.permutation(len(y))
+            for k in range(0, len(order), BATCH):
+                at = order[k : k + BATCH]
+                h = x[at] @ embed
+                z = h @ soft + bias
+                p = np.exp(z - z.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                p[np.arange(len(at)), y[at]] -= 1
+                p /= len(at)
+                down = x[at].T @ (p @ soft.T)
+                soft -= step * 10 * (h.T @ p)
+                bias -= step * 10 * p.sum(0)
+                embed -= step * (down + 1e-4 * embed)
+        return embed @ soft, bias
+
+
 def train(counts: np.ndarray, labels: list[str], seed: int = 7) -> Model:
     rng = np.random.RandomState(seed)
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
     x = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    scale = 1 / (x.std(0) + 1e-4)  # subwords differ in frequency by orders; the embeddings absorb it
-    mean = x.mean(0)
-    x = (x - mean) * scale
+    mean, scale = x.mean(0), 1 / (x.std(0) + DAMP)  # subwords differ in frequency by orders; the embeddings absorb it
+    x = ((x - mean) * scale).astype(np.float32)
     order = rng.permutation(len(y))
     held, own = order[: len(y) // 5], order[len(y) // 5 :]
-    embed = rng.normal(0, 0.05, (x.shape[1], WIDTH)).astype(np.float32)
-    soft = rng.normal(0, 0.1, (WIDTH, len(languages))).astype(np.float32)
-    bias = np.zeros(len(languages), np.float32)
-    for epoch in range(EPOCHS):
-        rate = 0.02 * (1 - epoch / EPOCHS)
-        for k in range(0, len(own), BATCH):
-            at = own[k : k + BATCH] if epoch == 0 else rng.choice(own, min(BATCH, len(own)), False)
-            h = x[at] @ embed
-            z = h @ soft + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(at)), y[at]] -= 1
-            p /= len(at)
-            step = x[at].T @ (p @ soft.T)
-            soft -= rate * 10 * (h.T @ p)
-            bias -= rate * 10 * p.sum(0)
-            embed -= rate * (step + 1e-4 * embed)
-    weights = (scale[:, None] * embed) @ soft
+    rate = RATE
+    while not np.isfinite((found := _descend(x[own], y[own], len(languages), rate, rng))[0]).all():
+        rate /= 4
+    embed_soft, bias = found
+    weights = scale[:, None] * embed_soft
     model = Model(languages, weights.astype(np.float32), (bias - mean @ weights).astype(np.float32), 1.0, 0.0)
     test = held if len(held) else own
     best = np.inf
@@ -101,6 +115,7 @@ def train(counts: np.ndarray, labels: list[str], seed: int = 7) -> Model:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
+    ready(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")).where("__id is not null and __text is not null and __lang is not null")
     sample = drawn(rows, "__id", F.col("__lang"), per_language)
     got = sample.mapInArrow(sparse_rows("__text", ["__id", "__lang"], _counts), f"__id {dict(rows.dtypes)['__id']}, __lang string, at binary, n binary").collect()
@@ -140,6 +155,7 @@ def _predict(model, text_col: str, names: list[str]):
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score (the calibrated probability) and rejected."""
+    ready(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "rejected")
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
     return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), text_col, schema.names), schema)
