@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from loomgraph.llm.scratch import table
+from loomgraph.llm.workers import ready
 
 #: 128 MB for the filter that is sent to executors.
 MAX_BITS = 1 << 30
@@ -136,6 +137,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     folded. A key of at least min_chars code points that at least min_docs
     documents hold stays only in the document with the largest id."""
     spark = docs.sparkSession
+    ready(spark)
     docs = docs.drop("n_lines", "n_dropped")
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     known = slim.where("__id is not null and __text is not null")
