@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.textvec import _BYTE, mix
+from loomgraph.llm.workers import ready
 
 LEVELS = (3, 4)
 KEPT = 64
@@ -165,6 +166,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     also sent to the range before it, so that no order over the whole is needed;
     of each range only the greatest id comes to the driver."""
     spark = docs.sparkSession
+    ready(spark)
     slim = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = parts * 4
