@@ -4,26 +4,28 @@ A document is the set of its word shingles. Documents with one and the same set
 are a class, and only the least id of a class goes on. In each of TREES
 independent trees a document goes from a node to BRANCH children, named by the
 node and by the set's minwise shingle under one of BRANCH hash functions of that
-depth: two sets of likeness J meet in a given child with probability J. Nodes of
-up to SMALL documents are compared exhaustively. In a larger node every document
-is compared with the least one, its hub, and those that are linked to it get its
-label. Documents then branch on by the next minwise shingles, and a node whose
-documents all carry one label has nothing left to find. Nodes that are still
-large and mixed at the last depth are compared exhaustively in blocks. Pairs
-with one label are linked already and are not compared.
-
-Comparison in a node is by a sketch, the minwise shingles of all trees and
-depths, with a margin that a pair at the threshold falls below with probability
-under 1e-4; all pairs that pass are confirmed on the full sets. With J = 0.8 a
-pair is missed by four trees of two branches with probability under 2e-5 at any
-depth, and (1 - J)**8 = 3e-6 if its nodes are small at once.
+depth: two sets of likeness J meet in a given child with probability J.
+
+Nodes of up to SMALL documents are compared exhaustively: pairs whose sketches
+(the minwise shingles of all trees and depths) agree well enough are confirmed
+on the full sets. In a larger node every document is compared with the least
+one, its hub. Those near the hub (a group of near copies) are then compared
+exhaustively on their full sets, in blocks, each block pair a product of two
+incidence matrices in one task; the others branch on to the next depth, the
+bands overlapping by more than the distance of a linked pair. What is still large
+at the last depth is compared on full sets as well. Documents that earlier
+links join carry one label; pairs of one label are not compared again, and a
+node of one label is done.
+
+With J = 0.8 a pair is missed with probability 0.2**8 = 3e-6 where its nodes are
+small or near a hub, and under 1e-4 where it branches to the last depth; a
+sketch of such a pair falls below SKETCH_LEAST with probability under 1e-4.
 
 Nulls and ties. A null text, or one without words, has no shingle and is linked
 with nothing. A document with fewer words than a shingle has one, of all of
 them. A null id is in no class: its component is null and it is kept. Rows that
 share an id have the component of their own text each; texts of which it is the
-least id are linked. An empty table gives an
-empty table.
+least id are linked. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,16 +41,21 @@ from pyspark.sql import functions as F
 from loomgraph.llm.components import components
 from loomgraph.llm.scratch import table
 from loomgraph.llm.textvec import mix, shingles, slices, texts, words
+from loomgraph.llm.workers import ready
 
 TREES = 4
 BRANCH = 2
-DEPTH = 5
+DEPTH = 3
 SMALL = 48
+#: Documents of a block whose full sets are compared in one task with those of another.
+BLOCK = 512
+#: Agreement with a hub's sketch from which a document is near it, and up to which it branches on.
+NEAR, FAR = 0.3, 0.6
 #: Common values of two sketches, of all, from which a pair is confirmed on its sets.
 SKETCH_LEAST = 0.56
 _U = np.uint64
-_SEEDS = np.random.RandomState(4242).randint(1, 2**62, (2, TREES * BRANCH * DEPTH)).astype(_U) * _U(2) + _U(1)
-KEPT = TREES * BRANCH * DEPTH
+_SEEDS = np.random.RandomState(4242).randint(1, 2**62, (2, 40)).astype(_U) * _U(2) + _U(1)
+KEPT = 40
 
 
 def _sketch(own: np.ndarray) -> np.ndarray:
@@ -92,7 +99,7 @@ def _children(depth: int):
             n = batch.num_rows
             if not n:
                 continue
-            s = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), _U).reshape(n, TREES, DEPTH, BRANCH)[:, :, depth]
+            s = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), _U).reshape(n, KEPT)[:, : TREES * DEPTH * BRANCH].reshape(n, TREES, DEPTH, BRANCH)[:, :, depth]
             if depth:
                 tree = batch.column("tree").to_numpy(zero_copy_only=False)
                 s = s[np.arange(n), tree]
@@ -109,55 +116,94 @@ def _children(depth: int):
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str], width: int) -> Iterator[list[tuple]]:
+    """Rows that agree in the first width columns; such rows come one after another."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if held and held[0][:width] != row[:width]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
 def _compare(share: float):
-    """Pairs of different labels that may be linked, from rows in order of (node, left, right, side)."""
+    """Pairs of different labels whose sketches agree, from rows in order of node."""
 
     def pairs(held: list[tuple]) -> Iterator[tuple[int, int]]:
-        if len(held) < 2:
-            return
-        ids, n, side = np.array([r[3] for r in held]), np.array([r[5] for r in held]), np.array([r[7] for r in held])
-        labels = np.array([r[4] for r in held])
-        s = np.frombuffer(b"".join(r[6] for r in held), _U).reshape(len(held), KEPT)
-        one_block = held[0][1] == held[0][2]
+        ids, labels, n = (np.array([r[k] for r in held]) for k in (1, 2, 3))
+        s = np.frombuffer(b"".join(r[4] for r in held), _U).reshape(len(held), KEPT)
         for k in range(len(held) - 1):
             others = np.arange(k + 1, len(held))
-            others = others[(labels[others] != labels[k]) & (ids[others] != ids[k]) & (one_block | (side[others] != side[k])) & (np.minimum(n[others], n[k]) >= share * np.maximum(n[others], n[k]))]
+            others = others[(labels[others] != labels[k]) & (ids[others] != ids[k]) & (np.minimum(n[others], n[k]) >= share * np.maximum(n[others], n[k]))]
             if len(others):
                 for j in others[(s[others] == s[k]).mean(1) >= SKETCH_LEAST]:
-                    yield min(ids[k], ids[j]), max(ids[k], ids[j])
+                    yield int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         found: list[tuple[int, int]] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("node", "left", "right", "id", "label", "n", "sketch", "side")), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    found += pairs(held)
-                    held = []
-                held.append(row)
+        for held in _groups(batches, ["node", "id", "label", "n", "sketch"], 1):
+            found += pairs(held)
             if len(found) > 4096:
                 yield _pairs(found)
                 found = []
-        yield _pairs(found + list(pairs(held)))
+        yield _pairs(found)
 
     return run
 
 
-def _near_hub(share: float):
-    """Pairs of a document and the hub of its node that may be linked."""
+def _linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which of the sets are linked, as a matrix. Only elements of two sets or more are columns."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    rows, column = rows[keep], place[column[keep]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    for c in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, (c, c + 4096))
+        x = np.zeros((len(sets), 4096), np.float32)
+        x[rows[a:b], column[a:b] - c] = 1
+        common += x @ x.T
+    n = np.array([len(x) for x in sets], np.float64)
+    return den * common.astype(np.float64) >= num * (n[:, None] + n[None, :] - common)
+
+
+def _exact(num: int, den: int):
+    """A spanning set of links between labels, from rows in order of (node, left, right)."""
+
+    def links(held: list[tuple]) -> Iterator[tuple[int, int]]:
+        ids, label, side = (np.array([r[k] for r in held]) for k in (3, 4, 5))
+        met = _linked([np.frombuffer(r[6], _U) for r in held], num, den) & (label[:, None] != label[None, :])
+        if held[0][1] != held[0][2]:
+            met &= side[:, None] != side[None, :]
+        for k in range(len(held)):
+            for j in np.flatnonzero(met[k, k + 1 :]) + k + 1:
+                if label[j] != label[k]:
+                    yield int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))
+                    label[label == label[j]] = label[k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, hub = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _U).reshape(-1, KEPT) for c in ("sketch", "hub_sketch"))
-            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "hub_n"))
-            keep = ((own == hub).mean(1) >= SKETCH_LEAST) & (np.minimum(n, m) >= share * np.maximum(n, m))
-            yield batch.select(["hub", "id"]).filter(pa.array(keep)).rename_columns(["a", "b"])
+        for held in _groups(batches, ["node", "left", "right", "id", "label", "side", "set"], 3):
+            if len(held) > 1:
+                yield _pairs(list(links(held)))
 
     return run
 
 
+def _near_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How well each document's sketch agrees with its hub's."""
+    for batch in batches:
+        own, hub = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _U).reshape(-1, KEPT) for c in ("sketch", "hub_sketch"))
+        out = batch.drop_columns(["sketch", "hub_sketch"])
+        yield out.append_column("agree", pa.array((own == hub).mean(1) if len(own) else [], pa.float64()))
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -185,19 +231,16 @@ def _confirm(num: int, den: int):
 
 
 class _Sets:
-    """The full sets of documents that are in a candidate pair, each made once."""
+    """The full sets of documents that may be compared, made once: the texts shuffle once."""
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.docs, self.width, self.percent, self.made = docs, width, percent, None
 
+    def prepare(self, ids: DataFrame) -> None:
+        """ids (w): all documents of whose sets there will be need."""
+        self.made = table(self.docs.join(ids.distinct(), F.col("id") == F.col("w"), "left_semi").mapInArrow(_set_bytes(self.width), "id bigint, set binary"), "sets")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-        if self.made is not None:
-            ids = ids.join(self.made.select(F.col("id").alias("i")), F.col("w") == F.col("i"), "left_anti")
-        if self.made is None or not (ids := table(ids, "ids")).isEmpty():
-            new = self.docs.join(ids, F.col("id") == F.col("w"), "left_semi").mapInArrow(_set_bytes(self.width), "id bigint, set binary")
-            new = table(new, "sets")
-            self.made = new if self.made is None else self.made.unionByName(new)
         sets = self.made
         with_a = pairs.join(sets.select(F.col("id").alias("i"), F.col("set").alias("set_a")), F.col("a") == F.col("i")).drop("i")
         both = with_a.join(sets.select(F.col("id").alias("i"), F.col("set").alias("set_b")), F.col("b") == F.col("i")).drop("i")
@@ -209,6 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that links reach, its own if none) and kept (it is that id). Two documents are
     linked if 100 * common >= percent * union of their sets of width-word shingles."""
     spark = docs.sparkSession
+    ready(spark)
     slim = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"))
     told = table(slim.mapInArrow(_describe(width), "__id bigint, __n bigint, __digest binary, __sketch binary"), "described")
     some = told.where("__id is not null and __n > 0")
@@ -218,29 +262,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share = percent / 100
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def exhaustive(rows: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-        """Candidate pairs of the nodes, a block of about most documents against another at a time."""
-        own = rows.join(nodes, F.col("node") == F.col("k")).withColumn("blocks", F.ceil(F.col("size") / most).cast("int"))
-        own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        own = own.join(sketches, F.col("id") == F.col("sid"))
+    def small(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Candidate pairs of small nodes."""
+        own = rows.join(nodes.select("k"), F.col("node") == F.col("k")).join(sketches, F.col("id") == F.col("sid")).select("node", "id", "label", "n", "sketch")
+        return own.repartition(parts, "node").sortWithinPartitions("node", "id").mapInArrow(_compare(share), "a bigint, b bigint")
+
+    def exact(rows: DataFrame) -> DataFrame:
+        """Links between labels in nodes of any size, on full sets, a block against a block at a time."""
+        sizes = rows.groupBy(F.col("node").alias("k")).agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("size > 1 and low <> high")
+        own = rows.join(table(sizes, "sizes"), F.col("node") == F.col("k")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        own = table(own.select("node", "id", "label", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "blocks")
         meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
-        dealt = own.select("node", "id", "label", "n", "sketch", "block", F.explode(meets).alias("m")).select("node", "m.left", "m.right", "id", "label", "n", "sketch", F.col("block").alias("side"))
-        return dealt.repartition(parts, "node", "left", "right").sortWithinPartitions("node", "left", "right", "id").mapInArrow(_compare(share), "a bigint, b bigint")
+        dealt = own.select("node", "id", "label", "block", F.explode(meets).alias("m")).select("node", "m.left", "m.right", "id", "label", F.col("block").alias("side"))
+        dealt = dealt.join(sets.made.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i")
+        return table(dealt.repartition(parts, "node", "left", "right").sortWithinPartitions("node", "left", "right", "id").mapInArrow(_exact(percent, 100), "a bigint, b bigint").distinct(), "exact")
 
     def with_hub(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Candidate pairs of each document of the nodes and the least one there."""
-        hubs = nodes.select("k", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.n").alias("hub_n")).join(sketches.withColumnRenamed("sketch", "hub_sketch"), F.col("hub") == F.col("sid")).drop("sid")
-        met = rows.join(hubs, F.col("node") == F.col("k")).where("label <> hub_label").select("hub", "id", "n", "hub_n", "hub_sketch")
-        return met.join(sketches, F.col("id") == F.col("sid")).mapInArrow(_near_hub(share), "a bigint, b bigint")
+        """Rows of large nodes with their hub and how well they agree with it."""
+        hubs = nodes.select("k", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")).join(sketches.withColumnRenamed("sketch", "hub_sketch"), F.col("hub") == F.col("sid")).drop("sid")
+        met = rows.join(hubs, F.col("node") == F.col("k")).select("node", "tree", "id", "label", "n", "hub", "hub_n", "hub_sketch").join(sketches, F.col("id") == F.col("sid")).drop("sid")
+        return table(met.mapInArrow(_near_hub, "node bigint, tree int, id bigint, label bigint, n bigint, hub bigint, hub_n bigint, agree double"), "hubs")
+
+    def labels(links: DataFrame) -> DataFrame:
+        """(x, l) for documents that have a lesser linked one: the least of these, or its
+        own least one. Equal labels are linked; unequal ones may be."""
+        least = links.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("m"))
+        return table(least.join(least.select(F.col("x").alias("y"), F.col("m").alias("l")), F.col("m") == F.col("y"), "left").select("x", F.coalesce("l", "m").alias("l")), "labels")
+
+    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        return rows.drop("label").join(labels(links), F.col("id") == F.col("x"), "left").withColumn("label", F.coalesce("l", "id")).drop("x", "l")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """First each document with the least it may be linked to, then what these links leave apart."""
-        pairs = table(pairs.distinct(), "pairs")
         links = sets.confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        label = components(links)
-        apart = pairs.join(label.select(F.col("node").alias("x"), F.col("component").alias("ca")), F.col("a") == F.col("x"), "left").drop("x")
-        apart = apart.join(label.select(F.col("node").alias("x"), F.col("component").alias("cb")), F.col("b") == F.col("x"), "left").drop("x")
-        apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        label = labels(links)
+        for side in ("a", "b"):
+            pairs = pairs.join(label.select("x", F.col("l").alias(f"l{side}")), F.col(side) == F.col("x"), "left").drop("x")
+        apart = pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
         done = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
         apart = table(apart.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "apart")
         return links if apart.isEmpty() else links.unionByName(sets.confirmed(apart))
@@ -248,20 +306,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, rows = None, classes.select("id", F.col("id").alias("label"), "n", "sketch")
     for depth in range(DEPTH):
         rows = table(rows.mapInArrow(_children(depth), "node bigint, tree int, id bigint, label bigint, n bigint"), "nodes")
-        nodes = rows.groupBy(F.col("node").alias("k")).agg(F.count("*").alias("size"), F.min(F.struct("id", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+        nodes = rows.groupBy(F.col("node").alias("k")).agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
         nodes = table(nodes.where("size > 1 and low <> high"), "sizes")
         large = nodes.where(F.col("size") > SMALL)
-        last = depth == DEPTH - 1 or large.isEmpty()
-        found = exhaustive(rows, nodes if last else nodes.where(F.col("size") <= SMALL), SMALL if not last else 8 * SMALL)
+        found = small(rows, nodes.where(F.col("size") <= SMALL))
+        last = large.isEmpty()
         if not last:
-            found = found.unionByName(with_hub(rows, large))
+            near = with_hub(rows, large)
+            likely = (F.col("agree") >= SKETCH_LEAST) & (F.least("n", "hub_n") >= share * F.greatest("n", "hub_n"))
+            found = found.unionByName(near.where(likely & (F.col("id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        found = table(found.distinct(), "pairs")
+        if depth == 0:
+            needed = found.select(F.col("a").alias("w")).union(found.select("b"))
+            # who branches on is in a large node now
+            sets.prepare(needed if last else needed.union(near.select("id")))
         found = confirm(found)
         links = found if links is None else links.unionByName(found)
         if last:
             break
-        label = components(links).select(F.col("node").alias("x"), "component")
-        rows = rows.join(large.select("k"), F.col("node") == F.col("k")).select("node", "tree", "id", "n")
-        rows = rows.join(label, F.col("id") == F.col("x"), "left").select("node", "tree", "id", F.coalesce("component", "id").alias("label"), "n").join(sketches, F.col("id") == F.col("sid")).drop("sid")
+        near = table(labelled(near, links), "labelled")
+        if depth == DEPTH - 1:
+            links = links.unionByName(exact(near))
+            break
+        links = links.unionByName(exact(near.where(F.col("agree") >= NEAR)))
+        rows = near.where(F.col("agree") < FAR).select("node", "tree", "id", "label", "n").join(sketches, F.col("id") == F.col("sid")).drop("sid")
     whole = components(links).select(F.col("node").alias("x"), "component")
     # only classes that are more than one document on its own need a row
     of_class = classes.join(whole, F.col("id") == F.col("x"), "left").where("members > 1 or component is not null").select(F.col("__digest").alias("d"), F.coalesce("component", "id").alias("component"))
