@@ -48,7 +48,7 @@ BRANCH = 2
 DEPTH = 3
 SMALL = 48
 #: Documents of a block whose full sets are compared in one task with those of another.
-BLOCK = 512
+BLOCK = 2048
 #: Agreement with a hub's sketch from which a document is near it, and up to which it branches on.
 NEAR, FAR = 0.3, 0.6
 #: Common values of two sketches, of all, from which a pair is confirmed on its sets.
@@ -154,39 +154,46 @@ def _compare(share: float):
     return run
 
 
-def _linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Which of the sets are linked, as a matrix. Only elements of two sets or more are columns."""
+def _linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which sets of both sides are linked, as a matrix. Only elements of two sets or more are columns."""
+    sets = left if left is right else [*left, *right]
     rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
     place = np.cumsum(shared) - 1
     keep = shared[column]
     rows, column = rows[keep], place[column[keep]]
-    common = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
-    for c in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(column, (c, c + 4096))
-        x = np.zeros((len(sets), 4096), np.float32)
+    common = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(column, (c, c + 2048))
+        x = np.zeros((len(sets), 2048), np.float32)
         x[rows[a:b], column[a:b] - c] = 1
-        common += x @ x.T
-    n = np.array([len(x) for x in sets], np.float64)
-    return den * common.astype(np.float64) >= num * (n[:, None] + n[None, :] - common)
+        common += x[: len(left)] @ x[len(sets) - len(right) :].T
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    out = np.zeros(common.shape, bool)
+    for k in range(len(left)):
+        out[k] = (num + den) * common[k].astype(np.int64) >= num * (n[k] + m)
+    return out
 
 
 def _exact(num: int, den: int):
     """A spanning set of links between labels, from rows in order of (node, left, right)."""
 
     def links(held: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids, label, side = (np.array([r[k] for r in held]) for k in (3, 4, 5))
-        met = _linked([np.frombuffer(r[6], _U) for r in held], num, den) & (label[:, None] != label[None, :])
-        if held[0][1] != held[0][2]:
-            met &= side[:, None] != side[None, :]
-        for k in range(len(held)):
-            for j in np.flatnonzero(met[k, k + 1 :]) + k + 1:
-                if label[j] != label[k]:
-                    yield int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))
-                    label[label == label[j]] = label[k]
+        sides = [held, held] if held[0][1] == held[0][2] else [[r for r in held if r[5] == s] for s in held[0][1:3]]
+        if not all(sides):
+            return
+        sets = [[np.frombuffer(r[6], _U) for r in side] for side in sides]
+        met = _linked(sets[0], sets[0] if sides[0] is sides[1] else sets[1], num, den)
+        (a, la), (b, lb) = ((np.array([r[3] for r in side]), np.array([r[4] for r in side])) for side in sides)
+        for k in range(len(a)):
+            for j in np.flatnonzero(met[k] & (lb != la[k])):
+                if lb[j] != la[k]:
+                    yield int(min(a[k], b[j])), int(max(a[k], b[j]))
+                    old = lb[j]
+                    la[la == old], lb[lb == old] = la[k], la[k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _groups(batches, ["node", "left", "right", "id", "label", "side", "set"], 3):

@@ -423,7 +423,8 @@ def test_near_duplicates_as_all_pairs_give_them(spark, odd, none, small):
 def test_linked_is_exact():
     r = np.random.RandomState(1)
     sets = [np.unique(r.choice(60, r.randint(1, 50)).astype(np.uint64)) for _ in range(40)]
-    got = neardup._linked(sets, 50, 100)
+    got = neardup._linked(sets, sets, 50, 100)
+    assert (neardup._linked(sets[:15], sets[15:], 50, 100) == got[:15, 15:]).all()
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert got[i, j] == (2 * len(np.intersect1d(a, b)) >= len(np.union1d(a, b)))
