@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of SEED words of all benchmark items are looked up in every text. A
-first pass counts in how many documents each occurs; the rarer half of each
-item's n-grams are its seeds. In the second pass a seed that a text shares with
-an item opens a window around the place where the item would lie; the window's
-words and the item's are aligned, and the score is the best local alignment's
-as a share of the score of a verbatim copy. Edits, insertions and gaps lower it
-gradually.
+The n-grams of SEED words of all benchmark items are looked up in every text,
+and every one is a seed: one that a text shares with an item opens a window
+around the place where the item would lie. The window's words and the item's
+are aligned, and the score is the best local alignment's as a share of the
+score of a verbatim copy. Edits, insertions and gaps lower it gradually. Common
+n-grams cost little: no alignment scores more than the item's words that the
+text holds, so most of what they open is left before it is aligned. A copy
+without one whole n-gram of its item is not found.
 
 The index of the benchmark is broadcast in blocks of at most BLOCK_ITEMS items,
 so a larger benchmark takes more passes, never more memory.
@@ -45,7 +46,6 @@ class Index:
     first: np.ndarray  # where each n-gram's postings begin
     item: np.ndarray  # postings
     place: np.ndarray
-    seed: np.ndarray  # by posting: it is one of the item's rarer half
 
 
 def build(items: list[tuple[int, str]], width: int = SEED) -> Index:
@@ -58,17 +58,7 @@ def build(items: list[tuple[int, str]], width: int = SEED) -> Index:
     place = np.concatenate([np.arange(len(r)) for r in runs] + [np.zeros(0, np.int64)]).astype(np.int64)
     order = np.lexsort((place, item, gram))
     grams, first = np.unique(gram[order], return_index=True)
-    return Index([i for i, _ in items], [names[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)], grams, np.append(first, len(gram)), item[order], place[order], np.zeros(len(gram), bool))
-
-
-def choose_seeds(index: Index, documents: np.ndarray) -> None:
-    """documents: in how many each n-gram occurs. Ties go by name, which is a hash."""
-    gram = np.repeat(np.arange(len(index.grams)), np.diff(index.first))
-    order = np.lexsort((gram, documents[gram], index.item))
-    item = index.item[order]
-    starts = np.searchsorted(item, np.arange(len(index.items)))
-    counts = np.bincount(item, minlength=len(index.items))
-    index.seed[order] = np.arange(len(order)) - starts[item] < (counts[item] + 1) // 2
+    return Index([i for i, _ in items], [names[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)], grams, np.append(first, len(gram)), item[order], place[order])
 
 
 def align(item: np.ndarray, window: np.ndarray) -> int:
@@ -103,34 +93,30 @@ def matches(index: Index, names: np.ndarray, grams: np.ndarray, places: np.ndarr
     n = index.first[grams + 1] - index.first[grams]
     where = np.repeat(places, n)
     post = np.concatenate([np.arange(index.first[g], index.first[g + 1]) for g in grams])
-    keep = index.seed[post]
-    item, shift = index.item[post][keep], (where - index.place[post])[keep]
-    for k in np.unique(item):
+    item, shift = index.item[post], where - index.place[post]
+    order = np.lexsort((shift, item))
+    item, shift = item[order], shift[order]
+    found, first = np.unique(item, return_index=True)
+    # an item of which the text holds too few words cannot reach least
+    lengths = np.array([len(index.names[k]) for k in found])
+    held = np.isin(np.concatenate([index.names[k] for k in found]), names)
+    enough = np.add.reduceat(held, np.cumsum(lengths) - lengths, dtype=np.int64) >= least * lengths
+    for k, a, b in zip(found[enough], first[enough], np.append(first[1:], len(item))[enough], strict=True):
         own = index.names[k]
-        shifts = np.unique(shift[item == k])
+        shifts = np.unique(shift[a:b])
         best = (0.0, 0)
         # seeds that put the item at nearly the same place share a window
         for group in np.split(shifts, np.flatnonzero(np.diff(shifts) > len(own)) + 1):
             begin = max(0, int(group[0]) - len(own) // 2)
             window = names[begin : int(group[-1]) + len(own) + len(own) // 2 + 1]
+            if np.count_nonzero(np.isin(own, window)) < least * len(own):
+                continue
             score = align(own, window) / (MATCH * len(own))
             best = max(best, (score, -begin))
         if best[0] >= least:
             yield index.items[k], best[0], -best[1]
 
 
-def _count(index, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(index.value.grams), np.int64)
-        for batch in batches:
-            for _, _, grams, _ in _hits(index.value, batch.column(0), width):
-                total[np.unique(grams)] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["gram", "n"])
-
-    return run
-
-
 def _report(index, width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,20 +139,15 @@ def _clean(index, text_col: str, width: int, least: float):
     return run
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, width: int) -> Iterator:
-    """A broadcast index for each block of items, with its seeds chosen over all documents."""
+def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, width: int) -> Iterator:
+    """A broadcast index for each block of items."""
     ready(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     blocks = -(-items.count() // BLOCK_ITEMS)
     context = docs.sparkSession.sparkContext
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
-        index = build(sorted((r["i"], r["t"]) for r in own), width)
-        counts = docs.select(text_col).mapInArrow(_count(context.broadcast(index), width), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        documents = np.zeros(len(index.grams), np.int64)
-        documents[[r["gram"] for r in counts]] = [r["n"] for r in counts]
-        choose_seeds(index, documents)
-        yield context.broadcast(index)
+        yield context.broadcast(build(sorted((r["i"], r["t"]) for r in own), width))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = SEED, least: float = LEAST) -> DataFrame:
@@ -175,7 +156,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     schema = f"__id {dict(slim.dtypes)['__id']}, item_id bigint, score double, start_word bigint"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in _indexes(docs, benchmark, text_col, item_col, item_text, width):
+    for index in _indexes(docs, benchmark, item_col, item_text, width):
         out = out.unionByName(slim.mapInArrow(_report(index, width, least), schema))
     return out.withColumnRenamed("__id", id_col)
 
@@ -183,6 +164,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = SEED, least: float = LEAST) -> DataFrame:
     """The rows of docs that hold no item."""
     out = docs
-    for index in _indexes(docs, benchmark, text_col, item_col, item_text, width):
+    for index in _indexes(docs, benchmark, item_col, item_text, width):
         out = out.mapInArrow(_clean(index, text_col, width, least), docs.schema)
     return out

@@ -245,6 +245,19 @@ def test_leaks_are_found_and_dropped(spark, odd, none):
         decontam.BLOCK_ITEMS = old
 
 
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_copies_with_every_few_words_changed_are_found(spark, every):
+    items = [(k, prose(2000 + k, 30)) for k in range(20)]
+    rows = []
+    for k, text in items:
+        edit = [f"other{k}x{i}" if i % every == every - 1 else w for i, w in enumerate(text.split())]
+        rows.append((k, prose(3000 + k, 60) + " " + " ".join(edit) + " " + prose(4000 + k, 60), None, None, 0))
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.find_leaks(docs, bench).collect()}
+    assert set(got) == {(k, k) for k, _ in items} and all(0.6 < x < 1 for x in got.values())
+    assert decontam.without_leaks(docs, bench).count() == 0
+
+
 # 6
 
 PUBLIC = pytest.importorskip("public_tokenizers")
