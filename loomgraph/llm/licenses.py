@@ -1,19 +1,19 @@
 """License scans by a positional index of rare words.
 
-The templates are short notices. Their words, less stop words, are the index:
-word to (template, place). The corpus gives each word a document frequency. A
-text that may hold a notice looks up its RARE highest-IDF licence words; every
-hit votes for (template, place in text - place in template), and the offset with
-the most votes is the one where the template's words stand in the right relative
-places. A template's label holds if enough of its rare words agree and its key
-phrase stands exactly where that offset puts it.
+The templates are short notices. The corpus gives each of their words, less stop
+words, a document frequency, and the RARE highest-IDF words of each template are
+the index: word to (template, place). A text that may hold a notice looks up all
+its words there; every hit votes for (template, place in text - place in
+template). An offset with enough votes is one where the template's words stand
+in the right relative places. A template's label holds if, at any such offset,
+its key phrase stands exactly where that offset puts it.
 
 Beside that, base phrases are found at every place where their words stand in a
 row. Main path: DataFrame functions only, one row in, one row out, no shuffle
 but the count of document frequencies.
 
-Nulls and ties. A null text is empty: no words, no labels, score 0. Of offsets
-with equal votes the smallest counts. Repeated rows give repeated results; an
+Nulls and ties. A null text is empty: no words, no labels, score 0. Of a
+template's offsets the one with the most votes gives the score. Repeated rows give repeated results; an
 empty table gives none. Result columns replace input columns of their names.
 """
 
@@ -40,7 +40,7 @@ TEMPLATES = (
 )
 # Words too common to be looked up.
 STOP = {"the", "is", "a", "an", "of", "to", "in", "and", "or", "it", "this", "are", "can", "any", "you", "with", "for", "by", "use", "form", "work"}
-RARE = 12
+RARE = 12  # words of a template
 AGREE = 0.6
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,23 +80,20 @@ def _at(words: Column, start: Column, phrase: list[str]) -> Column:
 
 
 def _agreement(words: Column, hits: Column, places: dict[str, list[int]], key: list[str], template: list[str]) -> Column:
-    """Share of the template's rare words that agree on one offset, 0 if the key
-    phrase isn't there. hits: (i, w) of the rare words in the text."""
+    """The largest share of the template's rare words that agree on one offset
+    where the key phrase is there too, 0 if that is under AGREE. hits: (i, w) of the rare words in the text."""
     where = F.create_map(*(x for w, p in places.items() for x in (F.lit(w), F.array(*map(F.lit, p)))))
     own = F.filter(hits, lambda h: h["w"].isin(list(places)))
     offsets = F.array_sort(F.flatten(F.transform(own, lambda h: F.transform(F.element_at(where, h["w"]), lambda p: h["i"] - p))))
-    start = F.expr("named_struct('o', cast(null as int), 'run', 0, 'best', 0, 'at', cast(null as int))")
-
-    def step(s: Column, o: Column) -> Column:
-        run = F.when(s["o"] == o, s["run"] + 1).otherwise(F.lit(1))
-        better = run > s["best"]
-        return F.struct(o.alias("o"), run.alias("run"), F.when(better, run).otherwise(s["best"]).alias("best"), F.when(better, o).otherwise(s["at"]).alias("at"))
-
-    found = F.aggregate(offsets, start, step)
     k = next(i for i in range(len(template)) if template[i : i + len(key)] == key)
     total = min(RARE, sum(map(len, places.values())))
-    share = F.transform(F.array(found), lambda f: F.when(_at(words, f["at"] + k, key), F.least(F.lit(1.0), f["best"] / float(total))).otherwise(F.lit(0.0)))
-    return F.coalesce(share[0], F.lit(0.0))
+    least = next(n for n in range(1, total + 1) if n / total >= AGREE)
+    # in order, an offset with least votes or more is equal to the one least - 1 places on
+    enough = F.transform(F.array(offsets), lambda s: F.array_distinct(F.filter(s, lambda o, i: F.get(s, i + (least - 1)) == o)))[0]
+    there = F.filter(enough, lambda o: _at(words, o + k, key))
+    at = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for w, ps in places.items() for p in ps))
+    votes = F.transform(there, lambda o: F.size(F.filter(at, lambda x: F.get(words, o + x["p"]) == x["w"])))
+    return F.least(F.lit(1.0), F.coalesce(F.array_max(votes), F.lit(0)) / float(total))
 
 
 def _base_places(words: Column, phrase: list[str], label: str) -> Column:
@@ -121,13 +118,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("__w", F.when(F.col("__t").rlike("(?i)" + "|".join(anchors)), split_words(F.translate("__t", _UPPER, _LOWER))).otherwise(F.array().cast("array<string>"))).drop("__t")
     w = F.col("__w")
     out = out.withColumn("__h", F.filter(F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("w"))), lambda h: h["w"].isin(vocabulary)))
-    ranks = F.create_map(*(x for v, k in rank.items() for x in (F.lit(v), F.lit(k))))
-    rarest = F.slice(F.array_sort(F.array_distinct(F.transform("__h", lambda h: F.element_at(ranks, h["w"])))), 1, RARE)
-    out = out.withColumn("__top", rarest)
-    out = out.withColumn("__r", F.filter("__h", lambda h: F.array_contains("__top", F.element_at(ranks, h["w"]))))
+    rare = [{v: p[v] for v in sorted(p, key=rank.__getitem__)[:RARE]} for _, _, p, _ in index]
     places = [_base_places(w, phrase.split(), label) for phrase, label in BASE]
     out = out.withColumn("__b", F.concat(*places))
-    out = out.withColumn("__s", F.array(*(_agreement(w, F.col("__r"), p, key, template) for _, template, p, key in index)))
+    out = out.withColumn("__s", F.array(*(_agreement(w, F.col("__h"), p, key, template) for (_, template, _, key), p in zip(index, rare, strict=True))))
     base = F.array_distinct(F.transform("__b", lambda b: b["l"]))
     labels = F.transform(F.filter(F.arrays_zip(F.col("__s").alias("s"), F.array(*(F.lit(label) for label, *_ in index)).alias("l")), lambda x: x["s"] >= AGREE), lambda x: x["l"])
     best = F.array_max("__s")
@@ -141,4 +135,4 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "score": F.greatest(F.when(best >= AGREE, best).otherwise(F.lit(0.0)), F.when(F.size("__b") > 0, F.lit(0.5)).otherwise(F.lit(0.0))),
         }
     )
-    return out.drop("__w", "__h", "__top", "__r", "__b", "__s")
+    return out.drop("__w", "__h", "__b", "__s")

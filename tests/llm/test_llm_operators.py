@@ -380,6 +380,22 @@ def test_licenses_by_place(spark, odd, none):
     assert licenses.scan(odd.withColumn("labels", F.lit(1))).count() == len(odd_rows()) and licenses.scan(none).count() == 0
 
 
+def test_a_file_of_many_notices_has_all_their_labels(spark):
+    notices = [t for _, t, _ in licenses.TEMPLATES]
+    texts = {
+        1: ". ".join(notices[k] for k in (7, 1, 8)),
+        2: " -- ".join(notices),
+        3: ". ".join([*(n for n in notices if "cc by" not in n), prose(1, 2000), notices[6]]),
+        # the first two places have more votes than the last, but not the key phrase
+        4: "redistribution and use in source or binary forms with or without modification are permitted. " * 2 + "redistribution and use in source and binary forms with or without modification are welcome",
+    }
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1]["labels"] == "bsd,mit,mpl" and got[1]["base_labels"] == "" and got[1]["score"] == 1.0
+    assert got[2]["labels"] == ",".join(sorted({label for label, *_ in licenses.TEMPLATES}))
+    assert "cc-by" in got[3]["labels"].split(",") and "cc-by-nc" not in got[3]["labels"].split(",")
+    assert got[4]["labels"] == "bsd" and abs(got[4]["score"] - 6 / 7) < 1e-9
+
+
 # 10
 
 
