@@ -7,10 +7,13 @@ of it by key. Keys come from a digest of the id, so reruns agree.
 
 The order within a source is never sorted as a whole: sizes are summed by
 (source, bin of key), a running sum over the bins finds the one bin in which the
-budget ends, and only that bin's documents and the next FILL are sorted, for the
-last (key, id, size) that goes in. A large document that would exceed the budget
-is passed over and the next ones that fit take what is left. What each source takes is a row; the documents meet it in a
-second pass over the texts, which do not shuffle while these rows are few.
+budget ends, and only that bin's documents are sorted, for the last (key, id,
+size) that goes in. A document that would exceed the budget is passed over. Of
+the ones after it, however far, those no larger than what is left go in the same
+way, up to the first of them that would exceed it; so what is left at the end is
+less than that one's size, or all of them are in. What each source takes is a
+row; the documents meet it in a second pass over the texts, which do not shuffle
+while these rows are few.
 
 Nulls and ties. A null text has size 0 and the least weight. A null source is a
 source, the last. A null id draws the key of the word "null". Equal keys go by
@@ -33,7 +36,7 @@ from loomgraph.llm.textvec import slices, texts, words
 from loomgraph.llm.workers import ready
 
 BINS = 4096
-#: Documents after a budget's end that are looked at for what is left of it.
+#: Documents after a budget's end at which the SQL stops to look; mix() looks at all.
 FILL = 64
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC2:] = True  # one for each code point beyond ASCII
@@ -105,26 +108,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     spent = spent.withColumn("__rest", F.col("__target") - F.col("__epochs") * F.col("__total")).withColumnRenamed("__source", "__s")
     bins = base.groupBy("__source", "__bin").agg(F.sum("size").alias("__in"), F.count("*").alias("__docs"))
     running = bins.withColumn("__after", F.sum("__in").over(Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)))
-    # the one bin of a source in which its budget ends, and the bins after it with the next FILL documents
-    by_bin = Window.partitionBy("__s").orderBy("__bin")
+    # the one bin of a source in which its budget ends
     after = running.join(spent, F.col("__source").eqNullSafe(F.col("__s"))).where("__after > __rest and __rest > 0")
-    after = after.withColumn("__met", F.sum("__docs").over(by_bin.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__first", F.min("__bin").over(Window.partitionBy("__s")))
-    zone = table(after.where((F.col("__bin") == F.col("__first")) | (F.coalesce("__met", F.lit(0)) < FILL)).select("__s", "__rest", "__bin", "__first", (F.col("__after") - F.col("__in")).alias("__before")).withColumnRenamed("__bin", "__b"), "zone")
-    order = Window.partitionBy("__source").orderBy("__key", "__id", "size")
-    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
-    own = Window.partitionBy("__source")
-    edge = base.join(zone, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b"))).withColumn("__start", F.min("__before").over(own))
-    edge = edge.withColumn("__in", F.col("__start") + F.sum("size").over(up_to) <= F.col("__rest"))
-    edge = edge.withColumn("__gap", F.col("__rest") - F.col("__start") - F.sum(F.when(F.col("__in"), F.col("size")).otherwise(0)).over(own))
-    # what is left of the budget goes to the next documents that fit into it
-    edge = edge.withColumn("__fits", ~F.col("__in") & (F.col("size") <= F.col("__gap")))
-    edge = edge.withColumn("__fill", F.col("__fits") & (F.sum(F.when(F.col("__fits"), F.col("size")).otherwise(0)).over(up_to) <= F.col("__gap")))
+    after = after.withColumn("__first", F.min("__bin").over(Window.partitionBy("__s"))).where("__bin = __first")
+    zone = table(after.select("__s", "__rest", "__first", (F.col("__after") - F.col("__in")).alias("__start")), "zone")
     place = F.struct("__key", "__id", "size")
-    limits = edge.groupBy(F.col("__source").alias("__e")).agg(F.max(F.when(F.col("__in"), place)).alias("__edge"), F.max(F.when(F.col("__fill"), place)).alias("__last"), F.max("__gap").alias("__gap"), F.min("__first").alias("__cut"))
-    plan = table(spent.join(limits, F.col("__s").eqNullSafe(F.col("__e")), "left").select("__s", "__total", "__target", "__epochs", "__cut", "__edge", "__last", "__gap"), "plan")
+    up_to = Window.partitionBy("__source").orderBy("__key", "__id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    edge = base.join(zone, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__first")))
+    edge = edge.withColumn("__in", F.col("__start") + F.sum("size").over(up_to) <= F.col("__rest"))
+    gap = F.max("__rest") - F.max("__start") - F.sum(F.when(F.col("__in"), F.col("size")).otherwise(0))
+    limits = edge.groupBy(F.col("__source").alias("__e")).agg(F.max(F.when(F.col("__in"), place)).alias("__edge"), gap.alias("__gap"), F.max("__first").alias("__cut"))
+    limits = table(limits, "edge")
+    # what is left of the budget goes to the next documents that fit into it: again the bin in which it ends, then its documents
+    later = base.join(limits, F.col("__source").eqNullSafe(F.col("__e"))).where((F.col("__bin") >= F.col("__cut")) & (F.col("size") <= F.col("__gap")) & F.coalesce(place > F.col("__edge"), F.lit(True)))
+    fits = later.groupBy("__e", "__bin").agg(F.sum("size").alias("__in"), F.max("__gap").alias("__gap"))
+    fits = fits.withColumn("__after", F.sum("__in").over(Window.partitionBy("__e").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0))).where("__after > __gap")
+    stops = table(fits.groupBy(F.col("__e").alias("__f")).agg(F.min("__bin").alias("__stop"), F.min(F.col("__after") - F.col("__in")).alias("__start")), "stops")
+    ends = later.join(stops, F.col("__e").eqNullSafe(F.col("__f")) & (F.col("__bin") == F.col("__stop")))
+    ends = ends.withColumn("__fill", F.col("__start") + F.sum("size").over(up_to) <= F.col("__gap")).where("__fill").groupBy(F.col("__source").alias("__l")).agg(F.max(place).alias("__last"))
+    plan = spent.join(limits, F.col("__s").eqNullSafe(F.col("__e")), "left").join(stops, F.col("__s").eqNullSafe(F.col("__f")), "left").join(ends, F.col("__s").eqNullSafe(F.col("__l")), "left")
+    plan = table(plan.select("__s", "__total", "__target", "__epochs", "__cut", "__edge", "__stop", "__last", "__gap"), "plan")
     out = drawn(docs).join(plan, F.col(source_col).eqNullSafe(F.col("__s")))
     place = F.struct(F.col("__key"), F.col(id_col).alias("__id"), F.col("size"))
-    more = F.coalesce(F.col("__bin") < F.col("__cut"), F.lit(False)) | F.coalesce(place <= F.col("__edge"), F.lit(False)) | F.coalesce((place <= F.col("__last")) & (F.col("size") <= F.col("__gap")), F.lit(False))
+    more = F.coalesce(F.col("__bin") < F.col("__cut"), F.lit(False)) | F.coalesce(place <= F.col("__edge"), F.lit(False)) | F.coalesce(F.col("size") <= F.col("__gap"), F.lit(False)) & (F.coalesce(F.col("__bin") < F.col("__stop"), F.lit(True)) | F.coalesce(place <= F.col("__last"), F.lit(False)))
     more = more.cast("int")
     out = out.withColumn("copies", F.col("__epochs") + more)
     return out.select(*docs.columns, "size", F.col("__total").alias("source_size"), F.col("__target").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))

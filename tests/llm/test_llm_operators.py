@@ -325,6 +325,18 @@ def test_mix_meets_its_targets(spark, odd, none):
     assert mixing.mix(odd.withColumn("size", F.lit("s"))).count() == len(odd_rows()) and mixing.mix(none).count() == 0
 
 
+def test_mix_fills_what_giant_documents_leave(spark):
+    rows = [(k, "w " * (30_000 if k // 4 % 300 == 7 else 50), "en", "abcd"[k % 4], 0) for k in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    for s in "abcd":
+        own = [x for x in got if x["source"] == s]
+        left = own[0]["target"] - sum(x["taken"] for x in own)
+        copies = max(x["copies"] for x in own)
+        assert 0 <= left < min(x["size"] for x in own if x["copies"] < copies), s
+        assert any(x["size"] == 50 and x["copies"] < copies for x in own)
+
+
+
 # 8
 
 
