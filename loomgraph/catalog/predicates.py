@@ -256,7 +256,7 @@ def rule_scan(spark, d) -> DataFrame:
 
 @query(f"select pattern_id, severity, count(*) as n from {_FINDINGS} where pattern_id in ('debt', 'rich-builder', 'debt-buys-large') group by 1, 2")
 def rules_by_lens(spark, d) -> DataFrame:
-    got = run.query("lens:credit limit 100000", trade_graph(spark, d), sample_rules()).findings
+    got = run.query("lens:credit", trade_graph(spark, d), sample_rules(), limit=None).findings
     return got.groupBy("pattern_id", "severity").agg(F.count("*").alias("n"))
 
 
