@@ -19,7 +19,7 @@ node of one label is done.
 
 With J = 0.8 a pair is missed with probability 0.2**8 = 3e-6 where its nodes are
 small or near a hub, and under 1e-4 where it branches to the last depth; a
-sketch of such a pair falls below SKETCH_LEAST with probability under 1e-4.
+sketch of such a pair falls below SKETCH_LEAST with probability 5e-6.
 
 Nulls and ties. A null text, or one without words, has no shingle and is linked
 with nothing. A document with fewer words than a shingle has one, of all of
@@ -52,7 +52,7 @@ BLOCK = 2048
 #: Agreement with a hub's sketch from which a document is near it, and up to which it branches on.
 NEAR, FAR = 0.3, 0.6
 #: Common values of two sketches, of all, from which a pair is confirmed on its sets.
-SKETCH_LEAST = 0.56
+SKETCH_LEAST = 0.5
 _U = np.uint64
 _SEEDS = np.random.RandomState(4242).randint(1, 2**62, (2, 40)).astype(_U) * _U(2) + _U(1)
 KEPT = 40

@@ -461,6 +461,18 @@ def test_near_duplicates_as_all_pairs_give_them(spark, odd, none, small):
         neardup.SMALL, neardup.BLOCK = old
 
 
+def test_a_pair_is_linked_though_its_sketches_agree_little(spark):
+    for k in range(200_000):
+        w = [f"w{k}x{i}" for i in range(45)]
+        pair = [" ".join(w[:41]), " ".join(w[:36] + w[41:])]  # 36 of 45 words in common
+        a, b = (neardup._sketch(x) for x in neardup._sets(pa.array(pair), 1))
+        if 20 <= (a == b).sum() <= 22:
+            break
+    assert 20 <= (a == b).sum() <= 22
+    got = neardup.near_duplicates(spark.createDataFrame([(1, pair[0], "en", "a", 0), (2, pair[1], "en", "a", 0)], DOCS), width=1).collect()
+    assert {r["component_id"] for r in got} == {1}
+
+
 def test_linked_is_exact():
     r = np.random.RandomState(1)
     sets = [np.unique(r.choice(60, r.randint(1, 50)).astype(np.uint64)) for _ in range(40)]
