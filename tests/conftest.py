@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -43,7 +44,7 @@ def rows(frame) -> list[tuple]:
     """Rows in order, columns by name, floats to five digits."""
 
     def cell(x):
-        if x is None or isinstance(x, float) and x != x:
+        if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and x != x:
             return "null"
         return f"{float(x) + 0.0:.5f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
