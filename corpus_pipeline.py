@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontam, langid, linededup, mixing, neardup
-from loomgraph.llm.scratch import table
+from loomgraph.scratch import table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,11 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, a similarity of 0.8; the least id of each component stays."""
-    copies = table(neardup.near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("__copy")).distinct(), "copies")
-    return docs.join(copies, docs["doc_id"] == copies["__copy"], "left_anti")
+    """Five-word shingles, a similarity of 0.8; the least id of each component stays.
+    Rows that share an id go or stay by their own texts; repeated rows stay or go together."""
+    copies = neardup.near_duplicates(docs, width=5, percent=80, carry={"__hash": F.xxhash64("text")}).where("not kept")
+    copies = table(copies.select(F.col("doc_id").alias("__copy"), "__hash").distinct(), "copies")
+    return docs.join(copies, (docs["doc_id"] == copies["__copy"]) & (F.xxhash64(docs["text"]) == copies["__hash"]), "left_anti")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
