@@ -466,13 +466,32 @@ def test_a_pair_is_linked_though_its_sketches_agree_little(spark):
         w = [f"w{k}x{i}" for i in range(45)]
         pair = [" ".join(w[:41]), " ".join(w[:36] + w[41:])]  # 36 of 45 words in common
         a, b = (neardup._sketch(x) for x in neardup._sets(pa.array(pair), 1))
-        if 20 <= (a == b).sum() <= 22:
+        if 28 <= (a == b).sum() <= 32:
             break
-    assert 20 <= (a == b).sum() <= 22
+    assert 28 <= (a == b).sum() <= 32
     got = neardup.near_duplicates(spark.createDataFrame([(1, pair[0], "en", "a", 0), (2, pair[1], "en", "a", 0)], DOCS), width=1).collect()
     assert {r["component_id"] for r in got} == {1}
 
 
+def test_pairs_just_above_the_threshold_are_linked_in_small_and_large_nodes(spark):
+    """160 pairs of J from 0.80 to 0.85, each alone; then the same in groups that share most of their words."""
+    r = random.Random(11)
+    alone, groups = [], []
+    for k in range(160):
+        n = r.choice([20, 45, 90, 180, 400])
+        own = max(1, int(n * r.uniform(0.1765, 0.222) / 2))  # 2 * own words of n + own are not in common
+        w = [f"p{k}x{i}" for i in range(n + own)]
+        alone += [(2 * k, " ".join(w[:n])), (2 * k + 1, " ".join(w[own:]))]
+    for k in range(2):
+        core = [f"g{k}x{i}" for i in range(200)]
+        for j in range(90):
+            own = [f"g{k}y{j}z{i}" for i in range(120)]
+            groups += [(1000 * (k + 1) + 2 * j, " ".join(core + own)), (1000 * (k + 1) + 2 * j + 1, " ".join(core + own[:70] + [f"g{k}v{j}z{i}" for i in range(20)]))]
+    for texts in (alone, groups):
+        got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts], DOCS), width=1).collect()}
+        assert got == plain_components([(i, t, "en", "a", 0) for i, t in texts], 1, 80)
+
+
 def test_linked_is_exact():
     r = np.random.RandomState(1)
     sets = [np.unique(r.choice(60, r.randint(1, 50)).astype(np.uint64)) for _ in range(40)]

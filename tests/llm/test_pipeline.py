@@ -74,5 +74,12 @@ def test_stages_take_odd_and_no_rows(spark, folder):
             assert stage(spark, docs, d).count() <= 3 * max(len(rows), 1)
 
 
+def test_near_copies_go_by_their_own_texts(spark):
+    a, b = prose(71, 60), prose(72, 60)
+    rows = [(3, b, "en", "a", 1), (7, a, "en", "a", 1), (7, b, "en", "a", 1), (9, a, "en", "a", 1), (None, a, "en", "a", 1)]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((str(r["doc_id"]), r["text"] == a) for r in out) == [("3", False), ("7", True), ("None", True)]
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
