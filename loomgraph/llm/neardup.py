@@ -56,6 +56,8 @@ DEPTH = 3
 SMALL = 48
 #: Documents, and shingles, of a block whose full sets are compared in one task with another's.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Ids that may be broadcast at once: 32 MB.
+SENT = 4_000_000
 #: Pairs of a hub in one task.
 HOT = 1024
 #: Agreement with a hub's sketch from which a document is near it, and up to which it branches on.
@@ -298,8 +300,11 @@ def _links(slim: DataFrame, described: DataFrame, classes: DataFrame, width: int
         return table(df, name, made)
 
     def full_sets(ids: DataFrame) -> DataFrame:
-        """The full sets of all documents that may be compared: the texts shuffle once."""
-        texts_of = slim.where("__id is not null").withColumnRenamed("__id", "i").join(ids.distinct(), F.col("i") == F.col("w"), "left_semi")
+        """The full sets of all documents that may be compared. Only their texts shuffle
+        while the ids are few enough to be sent to all executors, else all texts do, once."""
+        ids = kept(ids.distinct(), "needed")
+        few = ids.limit(SENT + 1).count() <= SENT
+        texts_of = slim.where("__id is not null").withColumnRenamed("__id", "i").join(F.broadcast(ids) if few else ids, F.col("i") == F.col("w"), "left_semi")
         texts_of = texts_of.repartition(parts, "i").withColumn("__same", F.xxhash64("__text")).dropDuplicates(["i", "__same", "__text"]).select("i", "__text")
         return bucketed(texts_of.mapInArrow(_set_bytes(width), "i bigint, set binary"), "i", "sets", made)
 
@@ -364,7 +369,8 @@ def _links(slim: DataFrame, described: DataFrame, classes: DataFrame, width: int
         label = F.col("label") if depth else F.col("id").alias("label")
         rows = kept(rows.mapInArrow(_children(depth), f"node bigint, slot int, id bigint{', label bigint' if depth else ''}"), "nodes")
         nodes = rows.groupBy(F.col("node").alias("k")).agg(F.count("*").alias("size"), F.min("id").alias("hub"), F.min(label).alias("low"), F.max(label).alias("high")).where("size > 1 and low <> high").select("k", "size", "hub")
-        met = kept(rows.join(nodes, F.col("node") == F.col("k")).drop("k"), "met")
+        # from a table, so that the join's exchange of a frequent node can be split
+        met = kept(rows.join(kept(nodes, "sizes"), F.col("node") == F.col("k")).drop("k"), "met")
         large = met.where(F.col("size") > SMALL)
         last = large.isEmpty()
         found = small(met.where(F.col("size") <= SMALL).select("node", "id", label))
