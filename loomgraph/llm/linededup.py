@@ -5,8 +5,14 @@ repeat. Every partition fills its own pair and sends only the positions of the
 bits it set, block by block; a block's owner turns bits that two partitions set
 into bits of the second filter. Only lines the second filter holds (true repeats
 and its few errors) shuffle, as 128-bit digests, for exact confirmation and the
-choice of the document that keeps them. A filter holds MAX_BITS at most: beyond
-that its errors rise and more lines shuffle, but the result is the same.
+choice of the document that keeps them. Texts do not shuffle: the keys to drop,
+with the id that keeps each, are sent to where the texts are read.
+
+Two sizes are checked, each with another way beyond it. A filter holds MAX_BITS at
+most, good for some 107 million lines; beyond that its errors rise and more
+digests shuffle, in the end those of all lines (README has the figure), with the
+same result. Up to SENT shared keys are sent to all executors; beyond that the
+documents shuffle once, to meet their keys.
 
 Nulls and ties. A null text is one empty line. Documents with a null id neither
 count nor lose lines. Rows that share an id count as one document and all lose
@@ -31,6 +37,8 @@ from loomgraph.scratch import table
 #: 128 MB for the filter that is sent to executors.
 MAX_BITS = 1 << 30
 BITS_PER_LINE = 10
+#: Shared keys that may be broadcast: 24 bytes each.
+SENT = 2_000_000
 PROBES = 4
 BLOCK = 1 << 16
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -95,31 +103,65 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(at > 1).tobytes()], pa.binary())], ["block", "bits"])
 
 
+def _held(hashes: np.ndarray, bits: int, held: np.ndarray) -> np.ndarray:
+    p = _probes(hashes, bits)
+    return (held[p >> np.uint64(3)] >> (np.uint64(7) - (p & np.uint64(7))) & 1).all(0)
+
+
+def _suspected(text: bytes, min_chars: int, bits: int, held: np.ndarray) -> tuple[list[bytes], list[bytes | None], list[bytes]]:
+    """A text's lines, their keys, and the distinct keys that the filter of repeats holds."""
+    lines = text.split(b"\n")
+    keys = [line_key(line, min_chars) for line in lines]
+    own = list({key for key in keys if key is not None})
+    if not own:
+        return lines, keys, own
+    met = _held(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)), bits, held)
+    return lines, keys, [own[k] for k in np.flatnonzero(met)]
+
+
+def _digest(key: bytes) -> bytes:
+    return blake2b(key, digest_size=16).digest()
+
+
 def _suspects(min_chars: int, bits: int, filter_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(filter_.value, np.uint8)
         for batch in batches:
             ids, keys = [], []
             for doc, text in zip(batch.column("__id").to_pylist(), _column(batch, "__text"), strict=True):
-                own = list({key for line in text.split(b"\n") if (key := line_key(line, min_chars)) is not None})
-                if not own:
-                    continue
-                p = _probes(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)), bits)
-                for k in np.flatnonzero((held[p >> np.uint64(3)] >> (np.uint64(7) - (p & np.uint64(7))) & 1).all(0)):
-                    ids.append(doc)
-                    keys.append(blake2b(own[k], digest_size=16).digest())
+                own = _suspected(text, min_chars, bits, held)[2]
+                ids += [doc] * len(own)
+                keys += map(_digest, own)
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("__id").type), pa.array(keys, pa.binary())], ["__id", "__key"])
 
     return run
 
 
-def _drop(min_chars: int, text_col: str, names: list[str]):
+def _drop(min_chars: int, id_col: str, text_col: str, names: list[str], bits: int, filter_, shared_):
+    """Drops a text's lines whose keys another document keeps. Where shared_ (all
+    keys in order, and who keeps them) is None, each row brings its own as __keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(filter_.value, np.uint8)
+        known, keeps = (np.frombuffer(shared_.value[0], "S16"), shared_.value[1]) if shared_ else (None, None)
         for batch in batches:
             out, total, gone = [], [], []
-            for text, keys in zip(_column(batch, text_col), batch.column("__keys").to_pylist(), strict=True):
-                lines, drop = text.split(b"\n"), set(keys or ())
-                kept = lines if not drop else [x for x in lines if (key := line_key(x, min_chars)) is None or blake2b(key, digest_size=16).digest() not in drop]
+            brought = batch.column("__keys").to_pylist() if shared_ is None else [None] * batch.num_rows
+            for doc, text, mine in zip(batch.column(id_col).to_pylist(), _column(batch, text_col), brought, strict=True):
+                lines, keys, own = text.split(b"\n"), [], []
+                if mine or shared_ and len(known) and doc is not None:
+                    lines, keys, own = _suspected(text, min_chars, bits, held)
+                drop = set()
+                if own:
+                    digests = list(map(_digest, own))
+                    if mine:
+                        mine = set(mine)
+                        drop = {key for key, d in zip(own, digests, strict=True) if d in mine}
+                    else:
+                        asked = np.array(digests, "S16")
+                        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                        drop = {own[k] for k in np.flatnonzero(known[at] == asked) if keeps[at[k]] != doc}
+                kept = [x for x, key in zip(lines, keys, strict=True) if key not in drop] if drop else lines
                 out.append(b"\n".join(kept))
                 total.append(len(lines))
                 gone.append(len(lines) - len(kept))
@@ -149,9 +191,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for row in filled.repartition(parts, "block").mapInArrow(_merge, "block int, bits binary").toLocalIterator():
         held[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
     kind = slim.schema["__id"].dataType.simpleString()
-    suspects = table(known.mapInArrow(_suspects(min_chars, bits, spark.sparkContext.broadcast(held.tobytes())), f"__id {kind}, __key binary"), "lines")
+    filter_ = spark.sparkContext.broadcast(held.tobytes())
+    suspects = table(known.mapInArrow(_suspects(min_chars, bits, filter_), f"__id {kind}, __key binary"), "lines")
     shared = table(suspects.groupBy("__key").agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__keep")).where(F.col("__n") >= min_docs).select("__key", "__keep"), "shared")
+    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    if shared.limit(SENT + 1).count() <= SENT:
+        own = shared.toArrow()
+        keys = np.array(own.column("__key").to_pylist(), "S16")
+        order = np.argsort(keys)
+        sent = spark.sparkContext.broadcast((keys[order].tobytes(), np.array(own.column("__keep").to_pylist())[order]))
+        return docs.mapInArrow(_drop(min_chars, id_col, text_col, schema.names, bits, filter_, sent), schema)
     drops = suspects.join(shared, "__key").where(F.col("__id") != F.col("__keep")).groupBy(F.col("__id").alias("__did")).agg(F.collect_set("__key").alias("__keys"))
     joined = docs.join(drops, docs[id_col] == drops["__did"], "left").drop("__did")
-    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    return joined.mapInArrow(_drop(min_chars, text_col, schema.names), schema)
+    return joined.mapInArrow(_drop(min_chars, id_col, text_col, schema.names, bits, filter_, None), schema)
