@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from loomgraph.llm.chat import BUDGET, HISTORY, HISTORY_TURNS
 from loomgraph.llm.licenses import AGREE, BASE, RARE, STOP, TEMPLATES
-from loomgraph.llm.mixing import BINS, FILL
+from loomgraph.llm.mixing import SLACK
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -25,29 +25,29 @@ chars as (select b.conv_id, b.w, sum(l.r) + max(case when b.w > 0 and b.s0 = 1 t
 select e.conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256, (select sum(c)::bigint from chars c where c.conv_id = e.conv_id) as formatted_chars from esc e group by e.conv_id"""
 
+#: Rounds that the SQL unrolls; further ones would find nothing left.
+ROUNDS = 12
+_ROUND = f"""
+fit{{k}} as (select b.s, b.n, b.size, t.gap, sum(b.size) over (partition by b.s order by b.n rows unbounded preceding) as up from base b join st{{k}} t on b.s is not distinct from t.s where b.size <= t.gap and b.n > t.n and t.gap > t.slack),
+in{{k}} as (select s, n, size from fit{{k}} where up <= gap),
+sum{{k}} as (select s, sum(size) as took, max(n) as n from in{{k}} group by s),
+st{{j}} as (select t.s, t.gap - coalesce(u.took, 0) as gap, t.slack, coalesce(u.n, t.n) as n from st{{k}} t left join sum{{k}} u on u.s is not distinct from t.s)"""
+
 MIX = rf"""
 with doc as (select doc_id as id, source as s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
   0.25 + 0.75 * length(regexp_replace(coalesce(text, ''), '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) / greatest(length(coalesce(text, '')), 1) as weight,
-  (('0x' || substr(sha256(coalesce(doc_id::varchar, 'null')), 1, 13))::bigint + 0.5) / 4503599627370496 as u from documents),
-base as (select *, floor((1 - exp(-key)) * {BINS})::int as bin from (select *, -ln(u) / weight as key from doc)),
+  ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as tie from documents),
+drawn as (select *, (('0x' || substr(sha256(coalesce(id::varchar, 'null ' || tie::varchar)), 1, 13))::bigint + 0.5) / 4503599627370496 as u from doc),
+base as materialized (select *, row_number() over (partition by s order by -ln(u) / weight, id nulls first, size, tie) as n from drawn),
 src as (select s, sum(size)::bigint as total, ((row_number() over (order by s nulls last) - 1) % 3 + 1)::int as w from base group by s),
 lev as (select *, (sum(total) over () - coalesce(sum(total * 3) over (order by 3 * total / w, s nulls last rows between unbounded preceding and 1 preceding), 0))::double / sum(w) over (order by 3 * total / w, s nulls last rows between current row and unbounded following) as level,
   row_number() over (order by 3 * total / w, s nulls last) as k from src),
 tar as (select *, least((total * 3)::double, coalesce((select arg_min(level, k) from lev where level * w <= total * 3), 0.0) * w) as target from lev),
 sp as (select *, case when total > 0 then floor(target / total) else 0 end::int as epochs from tar),
-rest as (select *, target - epochs * total as rest from sp),
-bins as (select s, bin, sum(size) as n_in, count(*) as docs from base group by all),
-run as (select *, sum(n_in) over (partition by s order by bin) as after from bins),
-aft as (select r.*, x.rest, sum(docs) over (partition by r.s order by bin rows between unbounded preceding and 1 preceding) as met, min(bin) over (partition by r.s) as first from run r join rest x on r.s is not distinct from x.s where r.after > x.rest and x.rest > 0),
-zone as (select *, after - n_in as before from aft where bin = first or coalesce(met, 0) < {FILL}),
-e0 as (select b.*, z.rest, z.first, min(z.before) over (partition by b.s) as start, sum(b.size) over (partition by b.s order by b.key, b.id, b.size rows unbounded preceding) as up from base b join zone z on b.s is not distinct from z.s and b.bin = z.bin),
-e1 as (select *, start + up <= rest as inside from e0),
-e2 as (select *, rest - start - sum(case when inside then size else 0 end) over (partition by s) as gap from e1),
-e3 as (select *, not inside and size <= gap as fits from e2),
-e4 as (select *, fits and sum(case when fits then size else 0 end) over (partition by s order by key, id, size rows unbounded preceding) <= gap as fill from e3),
-cut as (select s, min(first) as first from e4 group by s)
-select b.id as doc_id, b.size, r.total as source_size, r.target, (b.size * (r.epochs + case when coalesce(b.bin < c.first, false) or coalesce(e.inside, false) or coalesce(e.fill, false) then 1 else 0 end))::bigint as taken
-from base b join rest r on b.s is not distinct from r.s left join cut c on c.s is not distinct from b.s left join e4 e on e.id is not distinct from b.id and e.s is not distinct from b.s"""
+st0 as (select s, target - epochs * total as gap, least(target * {SLACK}, target - epochs * total - 1e-9) as slack, 0 as n from sp where target - epochs * total > 0),{",".join(_ROUND.format(k=k, j=k + 1) for k in range(ROUNDS))},
+took as ({" union all ".join(f"select s, n from in{k}" for k in range(ROUNDS))})
+select b.id as doc_id, b.size, r.total as source_size, r.target, (b.size * (r.epochs + case when t.n is null then 0 else 1 end))::bigint as taken
+from base b join sp r on b.s is not distinct from r.s left join took t on t.s is not distinct from b.s and t.n = b.n"""
 
 LINES = r"""
 with doc as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),

@@ -1,6 +1,7 @@
 """Each operator on odd rows, and against a plain version of itself."""
 
 import hashlib
+import importlib.util
 import math
 import random
 import re
@@ -260,9 +261,11 @@ def test_copies_with_every_few_words_changed_are_found(spark, every):
 
 # 6
 
-PUBLIC = pytest.importorskip("public_tokenizers")
+PUBLIC = pytest.importorskip("public_tokenizers") if importlib.util.find_spec("public_tokenizers") else None
+needs_tokenizers = pytest.mark.skipif(PUBLIC is None, reason="no public_tokenizers")
 
 
+@needs_tokenizers
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_long_texts_count_as_whole_ones(name):
     one, many = tokens.load(PUBLIC.path(name))
@@ -273,6 +276,7 @@ def test_long_texts_count_as_whole_ones(name):
             assert tokens.count_long(one, t, chunk, overlap) == n, t[:40]
 
 
+@needs_tokenizers
 def test_token_counts_of_odd_rows(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -325,6 +329,37 @@ def test_mix_meets_its_targets(spark, odd, none):
     assert mixing.mix(odd.withColumn("size", F.lit("s"))).count() == len(odd_rows()) and mixing.mix(none).count() == 0
 
 
+def test_mix_counts_rows_that_are_alike(spark):
+    """Repeated rows, null ids and ties: what a source takes is within one document of its target."""
+    ten = "w " * 10
+    cases = {
+        "one id": [(7, ten, "en", "a", 0)] * 200 + [(k, ten, "en", "b", 0) for k in range(1000, 1040)],
+        "null ids": [(None, ten, "en", "a", 0)] * 200 + [(k, ten, "en", "b", 0) for k in range(1000, 1110)],
+        "both, other texts": [(7, ten, "en", "a", 0)] * 60 + [(7, "v " * 10, "en", "a", 0)] * 60 + [(None, f"t{k} " * 10, "en", "a", 0) for k in range(80)] + [(k, ten, "en", None, 0) for k in range(1000, 1050)],
+    }
+    for name, rows in cases.items():
+        df = spark.createDataFrame(rows, DOCS).repartition(3)
+        got = mixing.mix(df).collect()
+        assert len(got) == len(rows), name
+        for s in {x["source"] for x in got}:
+            own = [x for x in got if x["source"] == s]
+            left = own[0]["target"] - sum(x["taken"] for x in own)
+            assert 0 <= left < 10 and max(x["copies"] for x in own) - min(x["copies"] for x in own) <= 1, (name, s, left)
+        again = mixing.mix(df.repartition(5)).groupBy("doc_id", "text", "source", "copies").count().collect()
+        assert sorted(map(str, again)) == sorted(map(str, spark.createDataFrame([(x["doc_id"], x["text"], x["source"], x["copies"]) for x in got], "doc_id long, text string, source string, copies int").groupBy("doc_id", "text", "source", "copies").count().collect())), name
+
+
+def test_mix_goes_on_until_nothing_fits(spark):
+    r = random.Random(3)
+    rows = [(k, "w " * (r.randint(3000, 30000) if k % 40 == 7 else r.randint(20, 60)), "en", "abcd"[k % 4], 0) for k in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    for s in "abcd":
+        own = [x for x in got if x["source"] == s]
+        left = own[0]["target"] - sum(x["taken"] for x in own)
+        copies = max(x["copies"] for x in own)
+        assert 0 <= left <= max(mixing.SLACK * own[0]["target"], min((x["size"] for x in own if x["copies"] < copies), default=0)), (s, left)
+
+
 def test_mix_fills_what_giant_documents_leave(spark):
     rows = [(k, "w " * (30_000 if k // 4 % 300 == 7 else 50), "en", "abcd"[k % 4], 0) for k in range(6000)]
     got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
@@ -374,6 +409,21 @@ def test_shared_lines_stay_once(spark, odd, none):
 # 9
 
 
+def test_shared_lines_beyond_the_checked_sizes(spark, monkeypatch):
+    r = random.Random(5)
+    lines = [prose(900 + k, 6) for k in range(40)]
+    rows = [(k, "\n".join(r.choice(lines) if r.random() < 0.5 else prose(k * 50 + j, 5) for j in range(r.randint(0, 12))), "en", "a", 0) for k in range(120)]
+    rows += rows[:5] + [(None, rows[0][1], "en", "a", 0)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    want = sorted((str(x["doc_id"]), x["text"], x["n_lines"], x["n_dropped"]) for x in linededup.dedup_lines(df).collect())
+    assert sum(x[3] for x in want) > 100
+    for name, value in (("SENT", 0), ("MAX_BITS", 1 << 16)):
+        with monkeypatch.context() as m:
+            m.setattr(linededup, name, value)
+            got = sorted((str(x["doc_id"]), x["text"], x["n_lines"], x["n_dropped"]) for x in linededup.dedup_lines(df).collect())
+        assert got == want, name
+
+
 def test_licenses_by_place(spark, odd, none):
     texts = {
         1: "Released under the MIT License. And the mit-license again",
