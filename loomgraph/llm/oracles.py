@@ -64,7 +64,7 @@ def _values(rows) -> str:
 
 _INDEX = [(t, i, w) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in STOP]
 _KEYS = [(t, text.split().index(key.split()[0]) if text.startswith(key) else len(text[: text.index(" " + key)].split()), j, w) for t, (_, text, key) in enumerate(TEMPLATES) for j, w in enumerate(key.split())]
-_TOTALS = [(t, min(RARE, sum(1 for x, _, _ in _INDEX if x == t)), label, len(key.split())) for t, (label, _, key) in enumerate(TEMPLATES)]
+_LABELS = [(t, label, len(key.split())) for t, (label, _, key) in enumerate(TEMPLATES)]
 _PLACES = " union all ".join(
     f"select w0.r, w0.i, '{label}' as l from word w0 " + " ".join(f"join word w{j} on w{j}.r = w0.r and w{j}.i = w0.i + {j} and w{j}.w = '{w}'" for j, w in enumerate(phrase.split()) if j) + f" where w0.w = '{phrase.split()[0]}'" for phrase, label in BASE
 )
@@ -73,16 +73,18 @@ LICENSES = rf"""
 with doc as (select row_number() over () as r, doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
 word as materialized (select r, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i from doc),
 idx as (select * from (values {_values(_INDEX)}) t(t, p, w)),
-tot as (select * from (values {_values(_TOTALS)}) t(t, total, label, n_key)),
+lbl as (select * from (values {_values(_LABELS)}) t(t, label, n_key)),
 keys as (select * from (values {_values(_KEYS)}) t(t, p, j, w)),
 vocab as (select distinct w from idx),
 df as (select v.w, count(distinct r) as n from vocab v left join word using (w) group by v.w),
 rnk as (select w, row_number() over (order by -ln(((select count(*) from doc) + 1) / (n + 1)), w) as k from df),
-hit as (select word.r, word.w, word.i, dense_rank() over (partition by word.r order by k) as place from word join rnk using (w)),
-vote as (select h.r, x.t, h.i - x.p as o, count(*) as n from hit h join idx x using (w) where h.place <= {RARE} group by all),
-best as (select r, t, o, n from (select *, row_number() over (partition by r, t order by n desc, o) as q from vote) where q = 1),
-ok as (select b.r, b.t, b.n from best b join keys k on k.t = b.t join word w on w.r = b.r and w.i = b.o + k.p + k.j and w.w = k.w join tot on tot.t = b.t group by b.r, b.t, b.n, tot.n_key having count(*) = tot.n_key),
-share as (select ok.r, tot.label, least(1.0, ok.n / tot.total) as s from ok join tot using (t)),
+rare as (select t, w from (select t, w, row_number() over (partition by t order by k) as q from (select distinct t, w, k from idx join rnk using (w))) where q <= {RARE}),
+place as (select idx.t, idx.p, idx.w from idx join rare on rare.t = idx.t and rare.w = idx.w),
+tot as (select t, least({RARE}, count(*)) as total, any_value(label) as label, any_value(n_key) as n_key from place join lbl using (t) group by t),
+vote as (select h.r, x.t, h.i - x.p as o, count(*) as n from word h join place x using (w) group by all),
+most as (select v.*, tot.total, tot.label, tot.n_key from vote v join tot using (t) where v.n / tot.total >= {AGREE}),
+ok as (select b.r, b.t, b.o, b.label, b.n, b.total from most b join keys k on k.t = b.t join word w on w.r = b.r and w.i = b.o + k.p + k.j and w.w = k.w group by all having count(*) = any_value(b.n_key)),
+share as (select r, label, least(1.0, n / total) as s from ok),
 base as materialized ({_PLACES}),
 lab as (select r, l from base union select r, label from share where s >= {AGREE})
 select d.doc_id, len(d.ws)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.lo::bigint as first_word, b.hi::bigint as last_word, coalesce(b.ls, '') as base_labels, coalesce(a.ls, '') as labels,

@@ -458,6 +458,22 @@ def test_a_file_of_many_notices_has_all_their_labels(spark):
     assert got[4]["labels"] == "bsd" and abs(got[4]["score"] - 6 / 7) < 1e-9
 
 
+def test_many_notices_have_the_labels_that_sql_gives(spark, tmp_path):
+    import duckdb
+
+    from loomgraph.llm.oracles import LICENSES
+
+    r, notices = random.Random(2), [t for _, t, _ in licenses.TEMPLATES]
+    docs = [(k, ". ".join(r.choice(notices) if r.random() < 0.7 else " ".join(x for x in r.choice(notices).split() if r.random() < 0.8) for _ in range(r.randint(0, 7)))) for k in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels"]
+    got = {tuple(x[c] for c in names): round(x["score"], 6) for x in licenses.scan(spark.read.parquet(f"{tmp_path}/documents")).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    want = {x[:-1]: round(x[-1], 6) for x in con.execute(f"select {', '.join(names)}, score from ({LICENSES})").fetchall()}
+    assert got == want and len({x[-1] for x in got}) > 50
+
+
 # 10
 
 
