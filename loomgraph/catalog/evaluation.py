@@ -252,7 +252,8 @@ def order_compliance(spark, d) -> DataFrame:
     return scores.before(read(spark, d, "events"), "user_id", "ts", "event_type", "signup", "purchase")
 
 
-@query()
+@query("""with x as (select event_type, value, row_number() over (partition by event_type order by event_id desc) as r, count(*) over (partition by event_type) as n from events)
+select event_type, round(sum(value * case when r = n then pow(0.7, r - 1) else 0.3 * pow(0.7, r - 1) end), 6) as ema from x group by 1""")
 def moving_average(spark, d) -> DataFrame:
     return scores.ema(read(spark, d, "events"), "event_type", "event_id", "value").withColumn("ema", F.round("ema", 6))
 

@@ -149,17 +149,37 @@ def analysis_weights(spark, d) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-@query("""with e as (select distinct s_nationkey as s, 100 + n_regionkey as t from supplier join nation on n_nationkey = s_nationkey union all select distinct 100 + n_regionkey, n_nationkey from nation),
-n as (select s, t, 1.0 / count(*) over (partition by s) as w from e), r0 as (select 0 as id, 1.0 as r),
-m1 as (select t as id, sum(r * w) * 0.85 as r from n join r0 on id = s group by 1), r1 as (select id, sum(r) as r from (select * from m1 union all select 0, 1 - coalesce((select sum(r) from m1), 0)) group by 1),
-m2 as (select t as id, sum(r * w) * 0.85 as r from n join r1 on id = s group by 1), r2 as (select id, sum(r) as r from (select * from m2 union all select 0, 1 - coalesce((select sum(r) from m2), 0)) group by 1)
-select id, round(r, 6) as rank from r2""")
+_EDGES = """e as (select 'Customer:' || c_custkey as s, 'Nation:' || c_nationkey as t from customer union all select 'Supplier:' || s_suppkey, 'Nation:' || s_nationkey from supplier
+union all select 'Nation:' || n_nationkey, 'Region:' || n_regionkey from nation union all select 'Nation:' || c_nationkey, 'Customer:' || c_custkey from customer where c_acctbal < 0)"""
+_RANKS = ", ".join(
+    f"""m{k} as (select t as id, sum(r * w) * 0.85 as r from n join r{k - 1} on id = s group by 1),
+r{k} as (select id, sum(r) as r from (select * from m{k} union all select seed.id, seed.r * (1 - coalesce((select sum(r) from m{k}), 0)) from seed) group by 1)"""
+    for k in range(1, 7)
+)
+_RANKED = f"""with {_EDGES}, n as (select s, t, count(*) / sum(count(*)) over (partition by s) as w from e group by s, t),
+seed as (select 'Customer:' || c_custkey as id, 1.0 / count(*) over () as r from customer where c_acctbal > 9900), r0 as (select * from seed), {_RANKS}"""
+
+
+def _ranks(g) -> DataFrame:
+    """Six rounds over the edges of customers, suppliers, nations and regions."""
+    edges = g.edges("IN_NATION", "IN_REGION").select("source", "target")
+    back = g.edges("IN_NATION").join(g.nodes("Customer").where("is_indebted").select(F.col("id").alias("source")), "source", "left_semi")
+    edges = edges.unionByName(back.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    return T.personalised_pagerank(T.normalised(edges.withColumn("weight", F.lit(1.0))), g.nodes("Customer").where("acctbal > 9900").select("id"), iterations=6)
+
+
+@query(f"{_RANKED} select id, round(r, 9) as rank from r6")
 def pagerank(spark, d) -> DataFrame:
-    nation = read(spark, d, "nation").select(F.col("n_nationkey").alias("s"), (F.lit(100) + F.col("n_regionkey")).alias("t"))
-    down = nation.join(read(spark, d, "supplier").select(F.col("s_nationkey").alias("s")).distinct(), "s").select(F.col("s").alias("source"), F.col("t").alias("target"))
-    edges = down.unionByName(nation.select(F.col("t").alias("source"), F.col("s").alias("target")).distinct())
-    shares = T.normalised(edges.withColumn("weight", F.lit(1.0)))
-    return T.personalised_pagerank(shares, spark.range(1).select(F.lit(0).alias("id")), iterations=2).select("id", F.round("rank", 6).alias("rank"))
+    return _ranks(trade_graph(spark, d)).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(f"{_RANKED} select 'node' as kind, id, null as target from r6 where r >= 0.002 union all select 'edge', s, t from (select distinct s, t from e) where s in (select id from r6 where r >= 0.002) and t in (select id from r6 where r >= 0.002) and (s like 'Customer:%' or s like 'Supplier:%' or (s like 'Nation:%' and t like 'Region:%'))")
+def seeded_subgraph(spark, d) -> DataFrame:
+    """Seeds, their personalised ranks, and the graph between the nodes that rank high."""
+    g = trade_graph(spark, d)
+    small = type(g)({t: g.node_tables[t] for t in ("Customer", "Supplier", "Nation", "Region")}, {t: g.edge_tables[t] for t in ("IN_NATION", "IN_REGION")})
+    nodes, edges = T.ranked_subgraph(small, _ranks(g), 0.002)
+    return nodes.select(F.lit("node").alias("kind"), "id", F.lit(None).cast("string").alias("target")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), "target").distinct())
 
 
 def work_log(spark, d) -> DataFrame:
@@ -244,9 +264,17 @@ def detector_mapping(spark, d) -> DataFrame:
     return got.groupBy("detector", "pattern_id").agg(F.count("*").alias("n"))
 
 
-@query("""with f as (select event_id, user_id, epoch_us(ts) // 3600000000 as line from events where event_type = 'click'), t as (select event_id, user_id, epoch_us(ts) // 3600000000 as line from events where event_type = 'purchase'),
-p as (select f.event_id as a, t.event_id as b, abs(f.line - t.line) as distance from f join t on f.user_id = t.user_id and abs(f.line - t.line) <= 10),
-r as (select *, row_number() over (partition by a order by distance, b) as x, row_number() over (partition by b order by distance, a) as y from p) select a as finding_id, b as truth_id, distance from r where x = 1 and y = 1""")
+#: Rounds that the SQL unrolls: in each, pairs that are the first of both their sides.
+_ROUNDS = ", ".join(
+    f"""t{k} as (select a, b, d from (select *, row_number() over (partition by a order by d, a, b) as x, row_number() over (partition by b order by d, a, b) as y from p{k}) where x = 1 and y = 1),
+p{k + 1} as (select * from p{k} where a not in (select a from t{k}) and b not in (select b from t{k}))"""
+    for k in range(12)
+)
+
+
+@query(f"""with f as (select event_id, user_id, epoch_us(ts) // 3600000000 as line from events where event_type = 'click'), t as (select event_id, user_id, epoch_us(ts) // 3600000000 as line from events where event_type = 'purchase'),
+p0 as (select f.event_id as a, t.event_id as b, abs(f.line - t.line) as d from f join t on f.user_id = t.user_id and abs(f.line - t.line) <= 10), {_ROUNDS}
+select a as finding_id, b as truth_id, d as distance from ({" union all ".join(f"select * from t{k}" for k in range(12))})""")
 def truth_match(spark, d) -> DataFrame:
     e = read(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("line"))
     return evaluate.match_truth(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), ["user_id"], "line")

@@ -41,7 +41,9 @@ def event_alerts(spark, d) -> DataFrame:
     return monitor.alerts(read(spark, d, "events"), rules).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
-@query("select user_id, epoch_us(min(ts)) as first, count(*) as alerts from events where event_type = 'error' group by user_id, epoch_us(ts) // 86400000000")
+@query("""with recursive e as (select user_id, epoch_us(ts) as t from events where event_type = 'error'), c(user_id, first) as (select user_id, min(t) from e group by user_id
+union all select c.user_id, min(e.t) from c join e on e.user_id = c.user_id and e.t >= c.first + 86400000000 group by c.user_id, c.first),
+n as (select *, lead(first) over (partition by user_id order by first) as next from c) select n.user_id, n.first, count(*) as alerts from n join e on e.user_id = n.user_id and e.t >= n.first and (n.next is null or e.t < n.next) group by 1, 2""")
 def alert_cooldown(spark, d) -> DataFrame:
     c = monitor.cooled(read(spark, d, "events").where("event_type = 'error'"), "user_id", "ts", 86400)
     return c.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("first"), "alerts")

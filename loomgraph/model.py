@@ -28,6 +28,8 @@ class PropertyGraph:
     node_tables: Mapping[str, DataFrame]
     edge_tables: Mapping[str, DataFrame]
     meta: Mapping[str, str] = field(default_factory=dict)
+    #: By node type, the integer column that makes the id: "Type:" and its digits.
+    keys: Mapping[str, str] = field(default_factory=dict)
 
     @classmethod
     def from_frames(cls, nodes: DataFrame, edges: DataFrame, node_types: list[str], edge_types: list[str], meta: Mapping[str, str] | None = None) -> PropertyGraph:
@@ -53,9 +55,22 @@ class PropertyGraph:
         return {c for t in chosen if t in self.node_tables for c in self.node_tables[t].columns} - set(NODE_COLUMNS)
 
     def node_ids(self, ids: list[str]) -> DataFrame:
-        """Id lookup; an id names its type, so other tables are not read."""
+        """Id lookup; an id names its type, so other tables are not read. Where a type
+        has a key column the filter is on that, and reaches the scan."""
         types = sorted({i.split(":", 1)[0] for i in ids} & set(self.node_tables))
-        return self.nodes(*types).where(F.col("id").isin(ids)) if types else self.nodes().where(F.col("id").isin(ids))
+        if not types:
+            return self.nodes().where(F.col("id").isin(ids))
+        found = []
+        for t in types:
+            own = [i for i in ids if i.startswith(f"{t}:")]
+            nodes = self.node_tables[t]
+            if t in self.keys:
+                digits = [i[len(t) + 1 :] for i in own]
+                nodes = nodes.where(F.col(self.keys[t]).isin([int(x) for x in digits if x.isdecimal() and str(int(x)) == x and int(x) < 1 << 63]))
+            else:
+                nodes = nodes.where(F.col("id").isin(own))
+            found.append(nodes)
+        return _union(found)
 
 
 def key(type_: str, column: str | Column) -> Column:
@@ -95,7 +110,7 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         "CONTAINS_PART": _edges(line, "CONTAINS_PART", order, key("Part", "l_partkey"), risk_score=c("l_discount"), is_tainted=c("l_returnflag") == "R", has_guard=c("l_linestatus") == "F"),
         "SHIPPED_BY": _edges(line, "SHIPPED_BY", order, key("Supplier", "l_suppkey")),
     }
-    return PropertyGraph(nodes, edges, {"schema_version": "1", "scope": "trade"})
+    return PropertyGraph(nodes, edges, {"schema_version": "1", "scope": "trade"}, dict.fromkeys(nodes, "key"))
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -106,4 +121,4 @@ def event_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     following = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     steps = events.select("event_id", following.alias("next_id")).where("next_id is not null")
     nodes = {"Event": _nodes(events, "Event", "event_id", F.col("event_type"), key=F.col("event_id"), user_id=F.col("user_id"), event_type=F.col("event_type"), value=F.col("value"))}
-    return PropertyGraph(nodes, {"NEXT_STEP": _edges(steps, "NEXT_STEP", key("Event", "event_id"), key("Event", "next_id"))}, {"schema_version": "1", "scope": "events"})
+    return PropertyGraph(nodes, {"NEXT_STEP": _edges(steps, "NEXT_STEP", key("Event", "event_id"), key("Event", "next_id"))}, {"schema_version": "1", "scope": "events"}, {"Event": "key"})

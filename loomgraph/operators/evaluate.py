@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.metrics import ratio
+from loomgraph.scratch import table, work
 
 
 def challenge_rates(results: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -132,16 +133,29 @@ def churn(current: DataFrame, baseline: DataFrame, most: float = 0.2) -> DataFra
 
 
 def match_truth(findings: DataFrame, truth: DataFrame, on: list[str], line: str, tolerance: int = 10) -> DataFrame:
-    """Pairs of a finding and the truth row nearest in line on the same place, one to one:
-    each side takes its nearest partner, ties by id. Both sides meet only within
+    """Pairs of a finding and a truth row on the same place, one to one: the nearest
+    pairs first (ties by finding, then truth), until no two rows within tolerance are
+    free. Each round takes all pairs that are the first of both their sides, which
+    gives what going through all pairs in order would. Both sides meet only within
     bands of (tolerance + 1) lines, so a place with many rows does not pair them all."""
     band = tolerance + 1
     t = truth.select(F.col("id").alias("truth_id"), *(F.col(c).alias(f"__{c}") for c in on), F.col(line).alias("__line"), F.explode(F.array(*(F.floor(F.col(line) / band) + k for k in (-1, 0, 1)))).alias("__band"))
     f = findings.select(F.col("id").alias("finding_id"), *on, line, F.floor(F.col(line) / band).alias("__own"))
     pairs = f.join(t, [*(F.col(c) == F.col(f"__{c}") for c in on), F.col("__own") == F.col("__band")]).withColumn("distance", F.abs(F.col(line) - F.col("__line"))).where(F.col("distance") <= tolerance)
-    rank = lambda a, b: F.row_number().over(Window.partitionBy(a).orderBy("distance", b))
-    pairs = pairs.withColumn("__a", rank("finding_id", "truth_id")).withColumn("__b", rank("truth_id", "finding_id"))
-    return pairs.where("__a = 1 and __b = 1").select("finding_id", "truth_id", "distance")
+    place = F.struct("distance", "finding_id", "truth_id")
+    with work() as made:
+        free = table(pairs.select("finding_id", "truth_id", "distance"), "free", made)
+        out: DataFrame | None = None
+        while True:
+            # the first pair of each finding that is also the first of its truth row
+            own = free.groupBy("finding_id").agg(F.min(place).alias("p")).select("p.*")
+            other = free.groupBy(F.col("truth_id").alias("__t")).agg(F.min(place).alias("p")).select("__t", F.col("p.finding_id").alias("__f"))
+            taken = table(own.join(other, (F.col("truth_id") == F.col("__t")) & (F.col("finding_id") == F.col("__f"))).select("finding_id", "truth_id", "distance"), "taken")
+            out = taken if out is None else out.unionByName(taken)
+            left = free.join(taken.select("finding_id"), "finding_id", "left_anti").join(taken.select("truth_id"), "truth_id", "left_anti")
+            free = table(left.select("finding_id", "truth_id", "distance"), "free", made)
+            if free.isEmpty():
+                return out
 
 
 def completeness(checks: dict[str, Column]) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,12 @@ def before(rows: DataFrame, key: str, order: str, kind: str, first: str, second:
 
 
 def ema(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential moving average at each key's last row."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda x: x["v"])
-    return rows.groupBy(key).agg(seq.alias("s")).select(key, F.aggregate(F.slice("s", 2, F.size("s")), F.col("s")[0], lambda a, x: a * (1 - alpha) + x * alpha).alias("ema"))
+    """Exponential moving average at each key's last row. Weights fall by 1 - alpha a
+    row, so only the last rows, until they are below a double's last digit, count;
+    the first row of a shorter history weighs what is left."""
+    n = max(1, math.ceil(math.log(1e-17) / math.log(1 - alpha))) if alpha < 1 else 1
+    w = Window.partitionBy(key).orderBy(F.col(order).desc())
+    last = rows.select(key, F.col(value).cast("double").alias("v"), F.row_number().over(w).alias("r")).where(F.col("r") <= n)
+    first = F.max(F.struct("r", "v"))
+    fall = lambda r: F.pow(F.lit(1 - alpha), r - 1)
+    return last.groupBy(key).agg((F.sum(F.col("v") * alpha * fall(F.col("r"))) + first["v"] * (1 - alpha) * fall(first["r"])).alias("ema"))

@@ -1,8 +1,10 @@
 """Graph traversal as joins: edges, fixed paths, bounded paths, flows, PageRank.
 
 Existence queries walk back from the targets with distinct frontiers and end in
-one semi join, so what shuffles is ids, never rows times paths. Only queries
-that return paths carry arrays.
+one semi join, so what shuffles is ids, never rows times paths. A walk of more
+than one edge writes each frontier to the shared folder, so that the plan of a
+depth reads the one before it and does not hold it. Only queries that return
+paths carry arrays, and only along edges that can still reach a target.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.model import PropertyGraph
+from loomgraph.scratch import table, work
 
 
 @dataclass(frozen=True)
@@ -55,34 +58,53 @@ def with_path(nodes: DataFrame, graph: PropertyGraph, steps: list[Step], last_wh
     return nodes if front is None else nodes.join(front.withColumnRenamed("target", "__s"), F.col("id") == F.col("__s"), "left_semi")
 
 
-def _cut(df: DataFrame, depth: int, every: int = 4) -> DataFrame:
-    """Cuts a long lineage where the session has a checkpoint folder."""
-    spark = df.sparkSession
-    if depth % every or not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        return df
-    return df.checkpoint()
-
-
 def reachable(graph: PropertyGraph, seeds: DataFrame, edge_types: tuple[str, ...], max_depth: int, direction: str = "out", min_depth: int = 1) -> DataFrame:
     """(id, depth): nodes at the end of a walk of min_depth to max_depth edges from
     any seed (a table of id), with the least such depth."""
-    links = graph.edges(*edge_types, direction=direction).select("source", "target").distinct()
-    front = seeds.select(F.col("id").alias("source")).distinct()
+    links = graph.edges(*edge_types, direction=direction).select("source", "target")
+    front = seeds.select(F.col("id").alias("source"))
     found: DataFrame | None = None
     for depth in range(1, max_depth + 1):
         front = links.join(front, "source", "left_semi").select(F.col("target").alias("source")).distinct()
-        if depth < min_depth:
-            continue
-        layer = front.select(F.col("source").alias("id"), F.lit(depth).alias("depth"))
-        if found is None:
-            found = layer
-        else:
-            # min_depth 1: what an earlier depth has reached leads nowhere new
-            layer = layer.join(found.select("id"), "id", "left_anti")
-            found = _cut(found.unionByName(layer), depth)
-            if min_depth == 1:
-                front = layer.select(F.col("id").alias("source"))
-    return found
+        if found is not None and min_depth == 1:
+            # what an earlier depth has reached leads nowhere new
+            front = front.join(found.select(F.col("id").alias("source")), "source", "left_anti")
+        if max_depth > 1:
+            front = table(front, "front")
+        if depth >= min_depth:
+            layer = front.select(F.col("source").alias("id"), F.lit(depth).alias("depth"))
+            if found is None:
+                found = layer
+            else:
+                found = found.unionByName(layer if min_depth == 1 else table(layer.join(found.select("id"), "id", "left_anti"), "layer"))
+        if depth < max_depth and front.isEmpty():
+            break
+    return front.select(F.col("source").alias("id"), F.lit(0).alias("depth")).where(F.lit(False)) if found is None else found
+
+
+def _within(links: DataFrame, ends: DataFrame, most: int, made: list) -> list[DataFrame]:
+    """For k from 0 to most: the nodes (target) from which an end is at most k edges away."""
+    out = [table(ends.select(F.col("id").alias("target")).distinct(), "within", made)]
+    for _ in range(most):
+        before = links.join(out[-1], "target", "left_semi").select(F.col("source").alias("target"))
+        out.append(table(before.unionByName(out[-1]).distinct(), "within", made))
+    return out
+
+
+def joined_pairs(links: DataFrame, seeds: DataFrame, ends: DataFrame, least: int, most: int) -> DataFrame:
+    """(source, target): a seed and an end that a walk of least to most edges joins.
+    Walks start at the seeds and only take edges from which an end is in reach."""
+    with work() as made:
+        near = _within(links, ends, most - 1, made)
+        walk = seeds.select(F.col("id").alias("source"), F.col("id").alias("at")).distinct()
+        out: DataFrame | None = None
+        for depth in range(1, most + 1):
+            own = links.join(near[most - depth], "target", "left_semi").select(F.col("source").alias("at"), "target")
+            walk = table(walk.join(own, "at").select("source", F.col("target").alias("at")).distinct(), "walk", made)
+            if depth >= least:
+                hit = walk.select("source", F.col("at").alias("target")).join(near[0], "target", "left_semi").select("source", "target")
+                out = hit if out is None else out.unionByName(hit)
+        return table(out.distinct(), "pairs")
 
 
 def with_bounded_path(nodes: DataFrame, graph: PropertyGraph, edge_types: tuple[str, ...], max_depth: int, target_type: str | None = None, target_where: Column | None = None, direction: str = "out") -> DataFrame:
@@ -115,19 +137,25 @@ def paired(left: DataFrame, right: DataFrame, on: list[str], differ: str = "id",
 def flow_paths(graph: PropertyGraph, sources: DataFrame, targets: DataFrame, edge_types: tuple[str, ...], max_depth: int = 5, direction: str = "out", blocked: DataFrame | None = None) -> DataFrame:
     """(source, target, depth, path): simple paths from a source to a target that
     pass no blocked node. Paths grow one edge a step, so max_depth is a bound."""
-    links = graph.edges(*edge_types, direction=direction).select(F.col("source").alias("__from"), F.col("target").alias("__to")).distinct()
+    links = graph.edges(*edge_types, direction=direction).select("source", "target")
     if blocked is not None:
-        links = links.join(blocked.select(F.col("id").alias("__to")), "__to", "left_anti")
-    ends = targets.select(F.col("id").alias("target")).distinct()
-    # an edge that no path to a target can use is left out of the walk
-    walk = sources.select(F.col("id").alias("source"), F.col("id").alias("target"), F.array("id").alias("path"))
-    out: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
-        walk = walk.join(links, F.col("target") == F.col("__from")).where(~F.array_contains("path", F.col("__to")))
-        walk = walk.select("source", F.col("__to").alias("target"), F.concat("path", F.array("__to")).alias("path"))
-        hit = walk.join(ends, "target", "left_semi").select("source", "target", F.lit(depth).alias("depth"), "path")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+        links = links.join(blocked.select(F.col("id").alias("target")), "target", "left_anti")
+    with work() as made:
+        near = _within(links, targets, max_depth - 1, made)
+        walk = sources.select(F.col("id").alias("source"), F.col("id").alias("target"), F.array("id").alias("path"))
+        out: DataFrame | None = None
+        for depth in range(1, max_depth + 1):
+            # only edges from which a target is still in reach
+            own = links.join(near[max_depth - depth], "target", "left_semi")
+            own = own.join(walk.select(F.col("target").alias("source")).distinct(), "source", "left_semi").distinct().select(F.col("source").alias("__from"), F.col("target").alias("__to"))
+            walk = walk.join(own, F.col("target") == F.col("__from")).where(~F.array_contains("path", F.col("__to")))
+            walk = table(walk.select("source", F.col("__to").alias("target"), F.concat("path", F.array("__to")).alias("path")), "walk", made if depth < max_depth else None)
+            hit = walk.join(near[0], "target", "left_semi") if depth < max_depth else walk
+            hit = hit.select("source", "target", F.lit(depth).alias("depth"), "path")
+            if depth < max_depth:
+                hit = table(hit, "hit")
+            out = hit if out is None else out.unionByName(hit)
+        return out
 
 
 def influencers(graph: PropertyGraph, targets: DataFrame, edge_types: tuple[str, ...], max_depth: int = 5) -> DataFrame:
@@ -202,21 +230,30 @@ def normalised(edges: DataFrame) -> DataFrame:
     return edges.withColumn("share", F.when(total > 0, w / total).otherwise(1.0 / F.count("*").over(own)))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 10) -> DataFrame:
-    """(id, rank) by a fixed number of power iterations. edges: source, target, share
-    (normalised); seeds: id. Rank that reaches a node without edges returns to the
-    seeds. Sums are combined before the shuffle; every few rounds the lineage is cut."""
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 10, tolerance: float = 0.0) -> DataFrame:
+    """(id, rank) by power iterations, until the ranks move by less than tolerance in
+    all. edges: source, target, share (normalised); seeds: id. Rank that reaches a
+    node without edges returns to the seeds. Sums are combined before the shuffle;
+    each round is written, so a round's plan reads the one before it."""
     start = seeds.select("id").distinct()
-    n = F.broadcast(start.agg(F.count("*").alias("n")))
-    base = start.crossJoin(n).select("id", (1.0 / F.col("n")).alias("r0"))
-    links = edges.groupBy("source", "target").agg(F.sum("share").alias("share"))
-    rank = base.select("id", F.col("r0").alias("rank"))
-    for k in range(1, iterations + 1):
-        moved = links.join(rank, F.col("source") == F.col("id")).groupBy(F.col("target").alias("id")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
-        kept = F.broadcast(moved.agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("kept")))
-        back = base.crossJoin(kept).select("id", (F.col("r0") * (1 - F.col("kept"))).alias("rank"))
-        rank = _cut(moved.unionByName(back).groupBy("id").agg(F.sum("rank").alias("rank")), k)
-    return rank
+    n = start.count()
+    base = start.select("id", F.lit(1.0 / max(n, 1)).alias("r0"))
+    with work() as made:
+        links = table(edges.groupBy("source", "target").agg(F.sum("share").alias("share")), "links", made)
+        rank = base.select("id", F.col("r0").alias("rank"))
+        for k in range(1, iterations + 1):
+            moved = links.join(rank, F.col("source") == F.col("id")).groupBy(F.col("target").alias("id")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
+            moved = table(moved, "moved", made)
+            kept = moved.agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("kept")).first()["kept"]
+            back = base.select("id", (F.col("r0") * (1 - kept)).alias("rank"))
+            after = table(moved.unionByName(back).groupBy("id").agg(F.sum("rank").alias("rank")), "rank")
+            if tolerance > 0 and k < iterations:
+                old = rank.select(F.col("id").alias("__i"), F.col("rank").alias("__r"))
+                change = after.join(old, F.col("id") == F.col("__i"), "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("__r", F.lit(0.0)))).alias("c")).first()["c"]
+                if (change or 0.0) < tolerance:
+                    return after
+            rank = after
+        return rank
 
 
 def ranked_subgraph(graph: PropertyGraph, rank: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:

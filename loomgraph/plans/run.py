@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.model import NODE_COLUMNS, PropertyGraph
 from loomgraph.operators import rules as R
-from loomgraph.operators.traverse import Step, flow_paths, influencers, with_bounded_path, with_edge, with_path
+from loomgraph.operators.traverse import Step, flow_paths, influencers, joined_pairs, with_bounded_path, with_edge, with_path
 from loomgraph.plans import graphql as G
 from loomgraph.plans.plan import EdgeSpec, FlowSpec, PathSpec, Plan, apply_hints
 from loomgraph.plans.text import parse
@@ -172,18 +172,10 @@ def _pattern_nodes(graph: PropertyGraph, node: G.NodePattern) -> DataFrame:
     return nodes
 
 
-def _hop(graph: PropertyGraph, edge: G.EdgePattern, seeds: DataFrame | None = None) -> DataFrame:
-    """(source, target) pairs that the edge pattern joins."""
+def _hop(graph: PropertyGraph, edge: G.EdgePattern, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(source, target) pairs that the edge pattern joins, from ids of left to ids of right."""
     links = graph.edges(*edge.types, direction=edge.direction).select("source", "target")
-    if (edge.least, edge.most) == (1, 1):
-        return links
-    links = links.distinct()
-    walk, out = links, links if edge.least <= 1 else None
-    for depth in range(2, edge.most + 1):
-        walk = walk.join(links.withColumnsRenamed({"source": "__m", "target": "__t"}), F.col("target") == F.col("__m")).select("source", F.col("__t").alias("target")).distinct()
-        if depth >= edge.least:
-            out = walk if out is None else out.unionByName(walk).distinct()
-    return out
+    return links if (edge.least, edge.most) == (1, 1) else joined_pairs(links, left, right, edge.least, edge.most)
 
 
 def _bind(graph: PropertyGraph, chain: G.Chain, bound: DataFrame | None, names: set[str], rows: bool = True) -> tuple[DataFrame, set[str]]:
@@ -197,8 +189,8 @@ def _bind(graph: PropertyGraph, chain: G.Chain, bound: DataFrame | None, names:
             raise ValueError(f"the pattern of {labels[0]} shares no name with the one before")
         own = first
     for k, edge in enumerate(chain.edges):
-        hop = _hop(graph, edge)
         node = _scoped(_pattern_nodes(graph, chain.nodes[k + 1]), labels[k + 1])
+        hop = _hop(graph, edge, own.select(F.col(f"{labels[k]}__id").alias("id")), node.select(F.col(f"{labels[k + 1]}__id").alias("id")))
         own = own.join(hop, F.col(f"{labels[k]}__id") == F.col("source")).join(node, F.col("target") == F.col(f"{labels[k + 1]}__id")).drop("source", "target")
     return own, names | set(labels)
 

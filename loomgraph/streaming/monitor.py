@@ -64,9 +64,39 @@ def alerts(rows: DataFrame, rules: list[AlertRule]) -> DataFrame:
 
 
 def cooled(alerts_: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """The first alert of each key and of each stretch of time: at most one in `seconds`."""
-    stretch = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
-    return alerts_.groupBy(key, stretch.alias("stretch")).agg(F.min(ts).alias(ts), F.count("*").alias("alerts")).drop("stretch")
+    """(key, ts, alerts): each key's first alert, then the first one at least `seconds`
+    after the last that came out, with how many alerts each stands for. Alerts of one
+    key and time are counted first; a key's times are then walked in order, one at a
+    time, with one number held. A null time comes never out."""
+    rows = alerts_.where(F.col(ts).isNotNull()).groupBy(F.col(key).alias("__key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("__at")).agg(F.count("*").alias("__n"))
+    kind = dict(rows.dtypes)["__key"]
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    walked = rows.repartition(parts, "__key").sortWithinPartitions("__key", "__at").mapInArrow(_cool(seconds * 1_000_000), f"__key {kind}, __at bigint, __n bigint")
+    return walked.select(F.col("__key").alias(key), F.timestamp_micros("__at").alias(ts), F.col("__n").alias("alerts"))
+
+
+def _cool(gap: int):
+    """Rows come by key in order of time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list | None = None  # key, when it came out, alerts since
+        for batch in batches:
+            out = []
+            for k, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is not None and held[0] == k and at < held[1] + gap:
+                    held[2] += n
+                    continue
+                if held is not None:
+                    out.append(held)
+                held = [k, at, n]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(batch.schema)], schema=batch.schema)
+            schema = batch.schema
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[j]], f.type) for j, f in enumerate(schema)], schema=schema)
+
+    return run
 
 
 def difference(old: DataFrame, new: DataFrame, key: str, content: list[str]) -> DataFrame:
