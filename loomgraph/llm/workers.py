@@ -8,11 +8,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of a batch that goes to a Python worker; texts are long, so the default of 10,000 is much memory.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _sent: set[str] = set()
 
 
 def ready(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors, once for each application."""
+    """Sends the package's sources to the executors, once for each application, and
+    lowers the session's rows of an Arrow batch to BATCH_ROWS."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _sent:
         return
