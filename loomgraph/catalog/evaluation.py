@@ -12,18 +12,12 @@ from loomgraph.model import read
 from loomgraph.operators import evaluate, overlay, scores
 
 
-@query("""select c_nationkey, count(*) as customers, count(*) filter (c_mktsegment = 'BUILDING') as builders, bool_or(c_acctbal < 0) as any_debt, bool_or(c_acctbal > 9990) as any_rich, case when count(*) = 0 then 'empty' when count(*) < 50 then 'low' when count(*) < 70 then 'medium' else 'high' end as size_band,
-(case when count(*) < 50 then 1.0 when count(*) < 70 then 2.0 else 3.0 end)::double as complexity_band_score from customer group by 1""")
+@query("""select c_nationkey, count(*) as members, count(*) filter (c_mktsegment = 'BUILDING') as builders, count(*) filter (c_mktsegment = 'MACHINERY') as makers, bool_or(c_acctbal < 0) as any_debt, bool_or(c_acctbal > 9990) as any_rich,
+case when count(*) < 20 then 'small' when count(*) < 50 then 'medium' when count(*) < 100 then 'large' else 'very_large' end as size_band from customer group by 1""")
 def group_analysis(spark, d) -> DataFrame:
-    n = F.count("*")
-    return read(spark, d, "customer").groupBy("c_nationkey").agg(
-        n.alias("customers"),
-        F.count_if(F.col("c_mktsegment") == "BUILDING").alias("builders"),
-        F.coalesce(F.bool_or(F.col("c_acctbal") < 0), F.lit(False)).alias("any_debt"),
-        F.coalesce(F.bool_or(F.col("c_acctbal") > 9990), F.lit(False)).alias("any_rich"),
-        F.when(n == 0, "empty").when(n < 50, "low").when(n < 70, "medium").otherwise("high").alias("size_band"),
-        F.when(n < 50, 1.0).when(n < 70, 2.0).otherwise(3.0).alias("complexity_band_score"),
-    )
+    counts = {"builders": F.col("c_mktsegment") == "BUILDING", "makers": F.col("c_mktsegment") == "MACHINERY"}
+    flags = {"any_debt": F.col("c_acctbal") < 0, "any_rich": F.col("c_acctbal") > 9990}
+    return evaluate.group_profile(read(spark, d, "customer"), "c_nationkey", counts, flags)
 
 
 def challenge_results(spark, d) -> DataFrame:

@@ -192,12 +192,14 @@ def privileged_state(spark, d) -> DataFrame:
     return read(spark, d, "customer").select("c_custkey", names.privileged(tags).alias("privileged"))
 
 
-@query("""select l, cat, (cat = '' or l in ('TRIGGERS', 'NOT_KNOWN') or (l = 'IS_RATE_LIMITER' and cat = 'dos') or (l = 'IS_ACCESS_GATE' and cat = 'access_control') or (l = 'CONTEXT:LIMIT:x' and cat in ('dos', 'access_control'))) as relevant,
-l <> 'NOT_KNOWN' as valid from (select * from (values ('TRIGGERS'), ('NOT_KNOWN'), ('IS_RATE_LIMITER'), ('IS_ACCESS_GATE'), ('CONTEXT:LIMIT:x')) a(l), (values (''), ('dos'), ('access_control'), ('oracle')) b(cat))""")
+@query("""with r as (select ['TRIGGERS', 'NOT_KNOWN', 'IS_RATE_LIMITER', 'IS_ACCESS_GATE', 'CONTEXT:LIMIT:x'][doc_id % 5 + 1] as l, ['', 'dos', 'access_control', 'oracle'][doc_id // 5 % 4 + 1] as cat from labels)
+select l, cat, (cat = '' or l in ('TRIGGERS', 'NOT_KNOWN') or (l = 'IS_RATE_LIMITER' and cat = 'dos') or (l = 'IS_ACCESS_GATE' and cat = 'access_control') or (l = 'CONTEXT:LIMIT:x' and cat in ('dos', 'access_control'))) as relevant,
+l <> 'NOT_KNOWN' as valid, count(*) as n from r group by all""")
 def label_relevance(spark, d) -> DataFrame:
-    rows = [(x, c) for x in ("TRIGGERS", "NOT_KNOWN", "IS_RATE_LIMITER", "IS_ACCESS_GATE", "CONTEXT:LIMIT:x") for c in ("", "dos", "Access-Control", "oracle")]
-    df = spark.createDataFrame(rows, "l string, c string")
-    return df.select("l", labels.category(F.col("c")).alias("cat"), labels.relevant(F.col("l"), F.col("c")).alias("relevant"), labels.valid(F.col("l")).alias("valid"))
+    pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    k = F.col("doc_id")
+    r = read(spark, d, "labels").select(pick(("TRIGGERS", "NOT_KNOWN", "IS_RATE_LIMITER", "IS_ACCESS_GATE", "CONTEXT:LIMIT:x"), k).alias("l"), pick(("", "dos", "Access-Control", "oracle"), F.floor(k / 5)).alias("c"))
+    return r.groupBy("l", labels.category(F.col("c")).alias("cat"), labels.relevant(F.col("l"), F.col("c")).alias("relevant"), labels.valid(F.col("l")).alias("valid")).agg(F.count("*").alias("n"))
 
 
 @query("select event_type, count(*) filter (a <= 15) as relevant from (select event_type, (epoch_us(timestamp '2024-01-31') - epoch_us(ts)) / 86400000000.0 as a from events) group by 1")
@@ -220,10 +222,10 @@ def attack_candidates(spark, d) -> DataFrame:
     return s.select("user_id", "day", F.size(F.array_intersect(ops, F.array(F.lit("signup"), F.lit("purchase")))).cast("bigint").alias("supporting"))
 
 
-@query("select 'Customer:' || c_custkey as id, c_acctbal < 0 or c_acctbal > 9000 as either, false as both from customer")
+@query("select 'Customer:' || c_custkey as id, c_acctbal < 0 or c_mktsegment = 'BUILDING' as either, c_acctbal < 0 and c_mktsegment = 'BUILDING' as both from customer")
 def trigger_signals(spark, d) -> DataFrame:
     nodes = trade_graph(spark, d).nodes("Customer")
-    signals = {"graph_signals": [{"property": "is_indebted"}, {"property": "is_wealthy"}]}
+    signals = {"graph_signals": [{"property": "is_indebted"}, {"property": "mktsegment", "value": "BUILDING"}]}
     known = set(nodes.columns)
     return nodes.select("id", files.trigger({"trigger": signals}, known).alias("either"), files.trigger({"trigger": signals | {"require_all": True}}, known).alias("both"))
 
@@ -267,9 +269,13 @@ def rule_explain(spark, d) -> DataFrame:
     return got.select("node_id", F.array_join(F.transform("explain", lambda x: F.concat(x["clause"], F.lit("="), x["status"])), ";").alias("explain"))
 
 
-@query("""select 'Customer:' || c_custkey as node_id, 2 as matched, 1 as failed, 0 as unknown, 'supported' as verdict from customer where c_acctbal > 9000 and c_mktsegment = 'BUILDING'""")
+@query("""select 'Part:' || p_partkey as node_id, 1 + (p_type = 'PROMO')::int + regexp_matches(p_name, 'ring$')::int as matched, 2 - (p_type = 'PROMO')::int - regexp_matches(p_name, 'ring$')::int as failed, 0 as unknown, 'supported' as verdict
+from part where p_size >= 40 and (p_type = 'PROMO' or regexp_matches(p_name, 'ring$'))
+union all select 'Part:' || p_partkey, (p_size >= 40)::int, (p_size < 40)::int, 1, 'insufficient_evidence' from part where p_size >= 40""")
 def result_clauses(spark, d) -> DataFrame:
-    got = rules.run_rules(trade_graph(spark, d), [r for r in sample_rules() if r.id == "rich-builder"], explain=True)
+    """A rule whose clauses are all known, and one that also asks for a property that parts lack."""
+    loose = rules.rule_from({"id": "loose", "scope": "Part", "severity": "low", "match": {"all": [{"property": "is_large"}], "none": [{"property": "weight", "op": "gt", "value": 5}]}})
+    got = rules.run_rules(trade_graph(spark, d), [*(r for r in sample_rules() if r.id == "large-part"), loose], explain=True)
     m = rules.clause_matrix(got)
     return m.select("node_id", *(F.size(f"{s}_clauses").alias(s) for s in ("matched", "failed", "unknown")), "verdict")
 
@@ -283,9 +289,12 @@ def lens_report(spark, d) -> DataFrame:
     return rules.lens_report(found, owner, ["Credit", "Sales", "Stock"]).drop("findings")
 
 
-@query("select * from (values ('Credit', 3), ('Sales', 2), ('Stock', 1)) t(lens, n)")
+@query(f"""select lens, f.severity, count(*) as n from {_FINDINGS} f join (values ('debt', 'Credit'), ('rich-builder', 'Credit'), ('rich-builder', 'Sales'), ('large-part', 'Stock'), ('debt-buys-large', 'Credit'), ('open-order-by-rich', 'Sales')) t(p, lens) on p = pattern_id group by 1, 2""")
 def rule_distribution(spark, d) -> DataFrame:
-    return rules.rules_table(spark, sample_rules()).select(F.explode("lens").alias("lens")).groupBy("lens").agg(F.count("*").cast("int").alias("n"))
+    """Findings by the lenses and severities of their rules."""
+    table = rules.rules_table(spark, sample_rules()).select(F.col("id").alias("pattern_id"), "severity", F.explode("lens").alias("lens"))
+    found = rules.run_rules(trade_graph(spark, d), sample_rules()).select("pattern_id")
+    return found.join(table, "pattern_id").groupBy("lens", "severity").agg(F.count("*").alias("n"))
 
 
 @query("select * from (values ('Customer'), ('Nation'), ('Order'), ('Part'), ('Region'), ('Supplier')) t(name)")
@@ -315,20 +324,33 @@ def json_query(spark, d) -> DataFrame:
     return run.query(text, trade_graph(spark, d)).nodes.select("id")
 
 
-@query("""select * from (values ('functions excluding msg.sender', 'uses_msg_sender=false'), ('find functions', 'parse_error'), ('find functions where writs_state', 'Did you mean: writes_state?'), ('edges calls contract', 'CALLS_CONTRACT')) t(text, outcome)""")
+@query("""select 'find customers where is_indebted and mktsegment = ' || c_mktsegment as text, cast(count(*) filter (c_acctbal < 0) as varchar) as outcome from customer group by c_mktsegment
+union all select * from (values ('find customers', 'parse_error'), ('find customers where is_indebtd', 'Did you mean: is_indebted?'), ('parts where', 'Part')) t(text, outcome)""")
 def text_queries(spark, d) -> DataFrame:
-    from loomgraph.plans.plan import apply_hints
-    from loomgraph.plans.text import parse
-
-    rows = []
-    for text in ("functions excluding msg.sender", "find functions", "find functions where writs_state", "edges calls contract"):
-        p = apply_hints(parse(text), {"writes_state", "uses_msg_sender"})
-        rows.append((text, "parse_error" if p.error else p.hints[0] if p.hints else ",".join(p.edge_types) or ",".join(f"{k}={str(v).lower()}" for k, v in p.properties.items())))
-    return spark.createDataFrame(rows, "text string, outcome string")
-
-
-@query("""select * from (values ('node fields', 0), ('node location', 0), ('edge fields', 0), ('edge source', 0), ('edge target', 0), ('metadata', 1)) t("check", violations)""")
+    """The answers of texts made from the segments there are, and what texts with faults say."""
+    g = trade_graph(spark, d)
+    segments = sorted(r[0] for r in g.nodes("Customer").select("mktsegment").distinct().collect())
+    out = None
+    for s in segments:
+        text = f"find customers where is_indebted and mktsegment = {s}"
+        one = run.query(text, g, limit=None).nodes.agg(F.count("*").cast("string").alias("outcome")).select(F.lit(text).alias("text"), "outcome")
+        out = one if out is None else out.unionByName(one)
+    told = []
+    for text in ("find customers", "find customers where is_indebtd", "parts where"):
+        r = run.query(text, g)
+        kinds = "" if r.error or r.hints else ",".join(sorted({t for t in ("Part",) if text.startswith("part")}))
+        told.append((text, "parse_error" if r.error else r.hints[0] if r.hints else kinds))
+    return out.unionByName(spark.createDataFrame(told, "text string, outcome string"))
+
+
+@query("""select 'node fields' as "check", (select count(*) from part where p_size = 1) as violations union all select 'node location', 0 union all select 'edge fields', (select count(*) from orders where o_orderstatus = 'P')
+union all select 'edge source', 0 union all select 'edge target', (select count(*) from lineitem join part on p_partkey = l_partkey where p_size = 1) + (select count(*) from orders where o_orderstatus = 'P') union all select 'metadata', 1""")
 def graph_validation(spark, d) -> DataFrame:
+    """A damaged graph: parts without an id, orders placed without a target, and poor metadata."""
     g = trade_graph(spark, d)
+    nodes = g.nodes().withColumn("id", F.when((F.col("type") != "Part") | (F.col("size") != 1), F.col("id")))
+    lost = g.nodes("Order").where("status = 'P'").select(F.col("id").alias("__o"))
+    placed = g.edges("PLACED").join(lost, F.col("target") == F.col("__o"), "left").withColumn("target", F.when(F.col("__o").isNotNull(), "").otherwise(F.col("target"))).drop("__o")
+    edges = placed.select("type", "source", "target").unionByName(g.edges("CONTAINS_PART", "IN_NATION", "IN_REGION").select("type", "source", "target"))
     meta = spark.createDataFrame([("1", None, None, "trade")], files.META_SCHEMA)
-    return files.validate_graph(g.nodes(), g.edges(), meta).select("check", F.col("violations").cast("int").alias("violations"))
+    return files.validate_graph(nodes, edges, meta).select("check", "violations")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.catalog import query
@@ -13,6 +13,31 @@ from loomgraph.operators import evaluate
 from loomgraph.plans.plan import close_matches
 from loomgraph.sources import files
 
+
+
+def _values(table: dict) -> str:
+    """Rows of a VALUES list from a dict of fixed values."""
+    word = lambda x: f"'{x}'" if isinstance(x, str) else repr(x)
+    return ", ".join("(" + ", ".join([word(k), *map(word, v if isinstance(v, tuple) else (v,))]) + ")" for k, v in table.items())
+
+
+_TAGS = ", ".join(f"('{tag}', '{w}')" for tag, words in names.NAME_TAGS.items() for w in words)
+_MODIFIERS = " union all ".join("select k, '" + tag + "' as tag from m where " + " or ".join("exists (select 1 from unnest(ms) u(x) where " + " and ".join(f"contains(lower(x), '{p}')" for p in parts) + ")" for parts in options) for tag, options in names.MODIFIER_TAGS.items())
+_MODIFIER_WORDS = ("onlyOwner", "onlyRole", "guardianOnly", "whenNotPaused", "nonReentrant", "onlyAdmin", "allowListed")
+_NAMES = ("owner", "totalSupply", "vaultReserve", "plain", "priceFeed", "stakingPool", "rewardBps")
+_MODELS = ("deepseek/deepseek-v3.2", "google/gemini-3-pro-preview", "other", "minimax/minimax-m2:free", "google/gemini-3-flash-preview")
+_CACHED_MODELS = ("gpt-4o", "none", "o3", "gpt-4.1")
+_ROLES = ("attacker", "classifier", "nobody", "verifier", "defender")
+
+
+def _pick(words: tuple[str, ...], k) -> Column:
+    return F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+
+
+def _picked(words: tuple[str, ...], k: str) -> str:
+    return f"[{', '.join(repr(w) for w in words)}][cast({k} % {len(words)} as int) + 1]"
+
+
 _TOKENS = "list_filter(string_split(lower(regexp_replace(regexp_replace(x, '[-. ]', '_', 'g'), '([A-Z])', '_\\1', 'g')), '_'), lambda t: t <> '')"
 
 
@@ -22,16 +47,18 @@ def identifier_tokens(spark, d) -> DataFrame:
     return x.select("x", F.array_join(F.array_sort(names.tokens(F.col("x"))), ",").alias("tokens"))
 
 
-@query("select * from (values ('ownerFeeBps', 'fee,owner'), ('totalSupply', 'supply'), ('vaultReserve', 'dependency,reserve,treasury,vault'), ('plain', '')) t(x, tags)")
+@query(f"""with n as (select distinct {_picked(_NAMES, 'p_size')} || p_type || '_' || {_picked(_NAMES, 'p_partkey')} as x from part), t as (select x, unnest({_TOKENS}) as w from n)
+select x, coalesce((select string_agg(distinct tag, ',' order by tag) from t join (values {_TAGS}) g(tag, word) on word = w where t.x = n.x), '') as tags from n""")
 def variable_tags(spark, d) -> DataFrame:
-    x = spark.createDataFrame([(n,) for n in ("ownerFeeBps", "totalSupply", "vaultReserve", "plain")], "x string")
+    x = read(spark, d, "part").select(F.concat(_pick(_NAMES, F.col("p_size")), "p_type", F.lit("_"), _pick(_NAMES, F.col("p_partkey"))).alias("x")).distinct()
     return x.select("x", F.array_join(names.name_tags(F.col("x")), ",").alias("tags"))
 
 
-@query("select 'governance,only_owner,role' as tags, true as privileged")
+@query(f"""with m as (select o_orderkey as k, [{_picked(_MODIFIER_WORDS, 'o_orderkey')}, {_picked(_MODIFIER_WORDS, 'o_custkey')}] as ms from orders), t as ({_MODIFIERS}),
+g as (select m.k, coalesce(string_agg(distinct tag, ',' order by tag), '') as tags, coalesce(bool_or(tag in ({', '.join(repr(x) for x in names.PRIVILEGED)})), false) as privileged from m left join t on t.k = m.k group by m.k) select tags, privileged, count(*) as n from g group by 1, 2""")
 def modifier_tags(spark, d) -> DataFrame:
-    m = spark.createDataFrame([(["onlyOwner", "onlyRole", "guardianOnly"],)], "m array<string>")
-    return m.select(F.array_join(names.modifier_tags(F.col("m")), ",").alias("tags"), names.privileged(F.array(F.lit("owner"))).alias("privileged"))
+    m = read(spark, d, "orders").select(names.modifier_tags(F.array(_pick(_MODIFIER_WORDS, F.col("o_orderkey")), _pick(_MODIFIER_WORDS, F.col("o_custkey")))).alias("t"))
+    return m.groupBy(F.array_join("t", ",").alias("tags"), names.privileged(F.col("t")).alias("privileged")).agg(F.count("*").alias("n"))
 
 
 @query("""select source, substr(sha256(string_agg(cast(doc_id as varchar), chr(10) order by cast(doc_id as varchar))), 1, 12) as graph_id from documents group by 1""")
@@ -51,22 +78,28 @@ def hashed_ids(spark, d) -> DataFrame:
     )
 
 
-@query("""select model, round(1000 * i / 1e6 + 500 * o / 1e6, 9) as cost, limit_ as "limit", i = 0 and o = 0 as free, vendor from (values ('deepseek/deepseek-v3.2', 0.25, 0.38, 164000, 'unknown'), ('google/gemini-3-pro-preview', 2.0, 12.0, 1000000, 'google'), ('other', 2.0, 10.0, 100000, 'unknown'), ('minimax/minimax-m2:free', 0.0, 0.0, 204000, 'unknown')) t(model, i, o, limit_, vendor)""")
+@query(f"""with u as (select {_picked(_MODELS, 'user_id')} as model, event_id % 5000 as i, user_id as o from events), p as (select * from (values {_values(costs.PRICES)}) t(m, pi, po)), l as (select * from (values {_values(costs.CONTEXT_LIMITS)}) t(m, n))
+select model, count(*) as calls, round(sum(i * coalesce(pi, {costs.DEFAULT_PRICE[0]}) / 1e6 + o * coalesce(po, {costs.DEFAULT_PRICE[1]}) / 1e6), 6) as cost, any_value(coalesce(l.n, {costs.DEFAULT_CONTEXT})) as "limit", coalesce(any_value(pi + po), 1) = 0 as free,
+case when contains(model, 'gemini') then 'google' else 'unknown' end as vendor from u left join p on p.m = model left join l on l.m = model group by model""")
 def model_costs(spark, d) -> DataFrame:
-    m = spark.createDataFrame([(x,) for x in ("deepseek/deepseek-v3.2", "google/gemini-3-pro-preview", "other", "minimax/minimax-m2:free")], "model string")
     c = F.col("model")
-    return m.select("model", F.round(costs.cost(c, F.lit(1000), F.lit(500)), 9).alias("cost"), costs.context_limit(c).alias("limit"), costs.is_free(c).alias("free"), costs.vendor(c).alias("vendor"))
+    u = read(spark, d, "events").select(_pick(_MODELS, F.col("user_id")).alias("model"), (F.col("event_id") % 5000).alias("i"), F.col("user_id").alias("o"))
+    g = u.groupBy("model").agg(F.count("*").alias("calls"), F.round(F.sum(costs.cost(c, F.col("i"), F.col("o"))), 6).alias("cost"))
+    return g.select("model", "calls", "cost", costs.context_limit(c).alias("limit"), costs.is_free(c).alias("free"), costs.vendor(c).alias("vendor"))
 
 
-@query("select * from (values ('gpt-4o', 0.00711::double), ('none', 0.0125::double)) t(model, cost)")
+@query(f"""with u as (select {_picked(_CACHED_MODELS, 'o_custkey')} as model, o_orderkey % 3000 + 400 as i, o_custkey as o, o_orderkey % 400 as r, 44 as w from orders), p as (select * from (values {_values(costs.CACHED_PRICES)}) t(m, pi, po, pr, pw))
+select model, round(sum(case when m is null then (i * {costs.FLAT_PRICE[0]} + o * {costs.FLAT_PRICE[1]}) / 1e6 else (i - r) * pi / 1e6 + o * po / 1e6 + r * pr / 1e6 + w * pw / 1e6 end), 6) as cost from u left join p on m = model group by model""")
 def cached_costs(spark, d) -> DataFrame:
-    m = spark.createDataFrame([("gpt-4o",), ("none",)], "model string")
-    return m.select("model", F.round(costs.cost_with_cache(F.col("model"), F.lit(1000), F.lit(500), F.lit(400), F.lit(44)), 9).alias("cost")).withColumn("cost", F.round("cost", 6))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    u = read(spark, d, "orders").select(_pick(_CACHED_MODELS, c).alias("model"), (k % 3000 + 400).alias("i"), c.alias("o"), (k % 400).alias("r"))
+    return u.groupBy("model").agg(F.round(F.sum(costs.cost_with_cache(F.col("model"), F.col("i"), F.col("o"), F.col("r"), F.lit(44))), 6).alias("cost"))
 
 
-@query("select * from (values ('attacker', 6000), ('classifier', 2000), ('nobody', 6000)) t(role, budget)")
+@query(f"""select role, coalesce(b, {costs.DEFAULT_BUDGET}) as budget, count(*) as calls, count(*) filter (value * 50 > coalesce(b, {costs.DEFAULT_BUDGET})) as over from (select {_picked(_ROLES, 'user_id')} as role, value from events) left join (values {_values(costs.ROLE_BUDGETS)}) t(r, b) on r = role group by 1, 2""")
 def role_budgets(spark, d) -> DataFrame:
-    return spark.createDataFrame([("attacker",), ("classifier",), ("nobody",)], "role string").select("role", costs.role_budget(F.col("role")).alias("budget"))
+    e = read(spark, d, "events").select(_pick(_ROLES, F.col("user_id")).alias("role"), "value")
+    return e.withColumn("budget", costs.role_budget(F.col("role"))).groupBy("role", "budget").agg(F.count("*").alias("calls"), F.count_if(F.col("value") * 50 > F.col("budget")).alias("over"))
 
 
 @query("""select c_mktsegment as segment, '{"sev":"' || case when c_mktsegment = 'BUILDING' then 'HIGH' else c_mktsegment end || '","ln":' || c_nationkey || '}' as j, count(*) as n from customer group by 1, 2""")
@@ -75,10 +108,13 @@ def compact_encoding(spark, d) -> DataFrame:
     return c.select("segment", encode.compact_json(c, ["severity", "line_number"]).alias("j")).groupBy("segment", "j").agg(F.count("*").alias("n"))
 
 
-@query("select * from (values ('high', 'HIGH', 'high'), ('external_call', 'xcall', 'external_call'), ('free text', 'free text', 'free text')) t(v, short, back)")
+@query(f"""with v as (select lower(split_part(o_orderpriority, '-', 2)) as v from orders union all select case when p_size % 2 = 0 then 'external_call' else lower(p_type) end from part)
+select v, coalesce(short, v) as short, v as back, count(*) as n from v left join (values {_values(encode.VALUES)}) t(long, short) on long = v group by 1, 2""")
 def value_abbreviations(spark, d) -> DataFrame:
-    v = spark.createDataFrame([("high",), ("external_call",), ("free text",)], "v string")
-    return v.select("v", encode.short_value(F.col("v")).alias("short"), encode.long_value(encode.short_value(F.col("v"))).alias("back"))
+    """Of the two values with the short form xcall, the table has one."""
+    v = read(spark, d, "orders").select(F.lower(F.split_part("o_orderpriority", F.lit("-"), F.lit(2))).alias("v"))
+    v = v.unionAll(read(spark, d, "part").select(F.when(F.col("p_size") % 2 == 0, "external_call").otherwise(F.lower("p_type"))))
+    return v.groupBy("v").agg(F.count("*").alias("n")).select("v", encode.short_value(F.col("v")).alias("short"), encode.long_value(encode.short_value(F.col("v"))).alias("back"), "n")
 
 
 @query("""with t as (select doc_id, length(text) as n, 'fn:' || doc_id || '|vis:' || lang as t1, '|sig:' || source as t2, '|lines:[' || substr(text, 1, 50) || ']' as t4, '|source:' || case when length(text) > 3000 then substr(text, 1, 3000) || '...[truncated]' else text end as t5, (doc_id % 4) * 400 as budget from documents),
@@ -116,10 +152,13 @@ def regex_extraction(spark, d) -> DataFrame:
     return read(spark, d, "pages").select("page_id", F.nullif(F.regexp_extract(h, r'<html lang="(\w+)">', 1), F.lit("")).alias("lang"), F.array_join(names.all_matches(h, '<a href="([^"]*)"'), " ").alias("links"))
 
 
-@query("select * from (values ('pragma solidity ^0.8.19;', '0.8.19'), ('pragma solidity >=0.7;', '0.7.0'), ('contract C {}', null)) t(x, version)")
+@query("""with x as (select page_id, case page_id % 4 when 0 then 'contract C {}' else 'pragma solidity ' || ['^', '>=', ''][page_id % 3 + 1] || '0.' || page_id % 9 || case when page_id % 4 = 1 then '' else '.' || page_id % 20 end || ';' end as t from pages)
+select page_id, case when page_id % 4 = 0 then null else '0.' || page_id % 9 || '.' || case when page_id % 4 = 1 then '0' else cast(page_id % 20 as varchar) end end as version from x""")
 def pragma_versions(spark, d) -> DataFrame:
-    x = spark.createDataFrame([("pragma solidity ^0.8.19;",), ("pragma solidity >=0.7;",), ("contract C {}",)], "x string")
-    return x.select("x", names.pragma_version(F.col("x")).alias("version"))
+    k = F.col("page_id")
+    text = F.concat(F.lit("pragma solidity "), _pick(("^", ">=", ""), k), F.lit("0."), (k % 9).cast("string"), F.when(k % 4 == 1, "").otherwise(F.concat(F.lit("."), (k % 20).cast("string"))), F.lit(";"))
+    x = read(spark, d, "pages").select("page_id", F.when(k % 4 == 0, "contract C {}").otherwise(text).alias("t"))
+    return x.select("page_id", names.pragma_version(F.col("t")).alias("version"))
 
 
 @query("select conv_id, turn, sha256(substr(coalesce(nullif(case when role = 'user' then '' else text end, ''), text), 1, 400)) as digest from conversations")
@@ -151,14 +190,24 @@ def findings_to_graph(spark, d) -> DataFrame:
     return files.findings_graph(f).select("id", F.col("label").alias("check_id"), (F.size("evidence") > 0).alias("has_place"))
 
 
-@query("""select 's' || (user_id % 5) || ':' || event_id as run_id, value as duration_ms, case when event_type = 'view' then 'q' || event_id else '' end as queries from events where event_type <> 'error'""")
+@query("""select 's' || (user_id % 5) || ':' || event_id as run_id, value as duration_ms, concat_ws(',', case when event_type = 'view' then 'q' || event_id end, case when user_id % 3 = 0 then 'one' || user_id end) as queries,
+case when user_id % 4 = 0 then 't' when event_id % 3 = 0 then 'a,b' when event_type = 'view' then 'Bash' else '' end as tools,
+case when event_id % 7 = 0 then 'raw' when event_id % 7 = 1 then 'top' when event_id % 7 = 2 then 'text' when event_id % 7 = 3 then 'out' when event_id % 7 = 4 then 'res' else '' end as response from events where event_type <> 'error'""")
 def hook_inputs(spark, d) -> DataFrame:
     e = read(spark, d, "events")
-    use = F.when(F.col("event_type") != "error", F.col("event_id").cast("string")).otherwise(F.lit(""))
-    q = F.when(F.col("event_type") == "view", F.array(F.struct(F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("query_text"))))
-    data = F.struct(F.lit(None).cast("string").alias("tool_use_id"), F.lit("t").alias("tool_name"), F.col("value").alias("duration_ms"), F.lit("r").alias("raw_observation"), F.lit("").alias("response_text"), q.alias("graph_queries"))
-    p = e.select(F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("session_id"), use.alias("tool_use_id"), data.alias("data"))
-    return files.evaluation_inputs(p).select("run_id", "duration_ms", F.array_join("queries", ",").alias("queries"))
+    k, word = F.col("event_id"), lambda n, x: F.when(F.col("event_id") % 7 == n, x)
+    use = F.when(F.col("event_type") != "error", k.cast("string")).otherwise(F.lit(""))
+    q = F.when(F.col("event_type") == "view", F.array(F.struct(F.concat(F.lit("q"), k.cast("string")).alias("query_text"))))
+    data = F.struct(
+        F.when(F.col("user_id") % 4 == 0, "t").otherwise("").alias("tool_name"),
+        F.when((F.col("user_id") % 4 != 0) & (k % 3 == 0), F.array(F.lit("a"), F.lit("b"))).alias("tool_sequence"),
+        F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("one"), F.col("user_id").cast("string"))).alias("query"),
+        F.col("value").alias("duration_ms"), word(0, "raw").alias("raw_observation"), word(2, "text").alias("response_text"), word(3, "out").alias("output"), q.alias("graph_queries"),
+    )
+    kind = F.when(F.col("event_type") == "view", "graph_query").otherwise("tool_use")
+    p = e.select(F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("session_id"), use.alias("tool_use_id"), kind.alias("event_type"), word(1, "top").alias("raw_observation"), word(4, "res").alias("result"), data.alias("data"))
+    got = files.evaluation_inputs(p)
+    return got.select("run_id", "duration_ms", F.array_join("queries", ",").alias("queries"), F.array_join("tools", ",").alias("tools"), "response")
 
 
 @query("select c_custkey, round((cast(c_acctbal > 0 as int) + cast(c_nationkey > 5 as int) + cast(c_mktsegment = 'BUILDING' as int)) / 3.0, 6) as share, concat_ws(',', case when c_acctbal <= 0 then 'balance' end, case when c_nationkey <= 5 then 'nation' end, case when c_mktsegment <> 'BUILDING' then 'segment' end) as missing from customer")
@@ -172,10 +221,11 @@ def keyword_check(spark, d) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", encode.any_keyword(F.col("text"), ["license", "token"]).alias("found"))
 
 
-@query("select * from (values ('writs_state', 'writes_state'), ('has_acess_gate', 'has_access_gate'), ('zzz', '')) t(name, matches)")
+@query("select distinct left(c_mktsegment, length(c_mktsegment) - 1) as name, c_mktsegment as matches from customer")
 def name_suggestions(spark, d) -> DataFrame:
-    known = ["writes_state", "has_access_gate", "visibility"]
-    return spark.createDataFrame([(n, ",".join(close_matches(n, known))) for n in ("writs_state", "has_acess_gate", "zzz")], "name string, matches string")
+    """The segments as the names that are known, and each without its last letter as what was asked."""
+    known = sorted(r[0] for r in read(spark, d, "customer").select("c_mktsegment").distinct().collect())
+    return spark.createDataFrame([(n[:-1], ",".join(close_matches(n[:-1], known))) for n in known], "name string, matches string")
 
 
 @query("select count(*) filter (ts >= timestamp '2024-01-21') as kept, count(*) filter (ts < timestamp '2024-01-21') as dropped from events")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 # Short keys.
 KEYS = {
@@ -97,10 +98,20 @@ def compact_json(df: DataFrame, columns: list[str]) -> Column:
 
 
 def detail(df: DataFrame, level: str, summary: list[str], verbose: list[str]) -> DataFrame:
-    """SUMMARY keeps the summary columns, DETAILED drops the verbose ones, FULL keeps all."""
-    if level == "SUMMARY":
-        return df.select(*(c for c in df.columns if c in summary))
-    return df.drop(*verbose) if level == "DETAILED" else df
+    """SUMMARY keeps the summary names, DETAILED drops the verbose ones, FULL keeps all;
+    the names hold at every depth of structs. A struct without a name left goes."""
+    if level not in ("SUMMARY", "DETAILED"):
+        return df
+    keeps = (lambda n: n in summary) if level == "SUMMARY" else (lambda n: n not in verbose)
+
+    def pruned(value: Column, kind: DataType) -> Column | None:
+        if not isinstance(kind, StructType):
+            return value
+        own = [(f.name, c) for f in kind.fields if keeps(f.name) and (c := pruned(value.getField(f.name), f.dataType)) is not None]
+        return F.when(value.isNotNull(), F.struct(*(c.alias(n) for n, c in own))) if own else None
+
+    columns = [(f.name, pruned(F.col(f.name), f.dataType)) for f in df.schema.fields if keeps(f.name)]
+    return df.select(*(c.alias(n) for n, c in columns if c is not None))
 
 
 def estimate_tokens(text: Column) -> Column:

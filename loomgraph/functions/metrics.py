@@ -76,6 +76,22 @@ def detection_indicators(events: DataFrame) -> DataFrame:
     )
 
 
+def work_indicators(events: DataFrame) -> DataFrame:
+    """One row: the five indicators of typed metric events beside detection: scaffolds
+    that compile, findings resolved without a person, mean scan time, mean tokens of a
+    resolution, and findings that went to a person."""
+    kind = lambda k: F.col("event_type") == k
+    share = lambda k, what: ratio(F.count_if(kind(k) & F.coalesce(what, F.lit(False))), F.count_if(kind(k)))
+    mean = lambda k, c: F.coalesce(F.avg(F.when(kind(k), F.col(c))), F.lit(0.0))
+    return events.agg(
+        share("scaffold", F.col("compiled")).alias("scaffold_compile_rate"),
+        share("verdict", F.col("auto_resolved")).alias("llm_autonomy"),
+        mean("timing", "duration_seconds").alias("time_to_detection"),
+        mean("verdict", "tokens_used").alias("token_efficiency"),
+        share("verdict", ~F.col("auto_resolved")).alias("escalation_rate"),
+    )
+
+
 def history_statistics(points: DataFrame, since: Column) -> DataFrame:
     """min, max, avg, latest and count of each metric's points from since on."""
     return points.where(F.col("ts") >= since).groupBy("metric").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg"), F.max_by("value", "ts").alias("latest"), F.count("*").alias("count"))

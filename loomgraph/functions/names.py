@@ -131,3 +131,13 @@ def pragma_version(text: Column) -> Column:
 
 def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def invariant_state(strength: Column) -> Column:
+    """verified if proven, violated if known to be, else open."""
+    x = F.lower(strength)
+    return F.when(x == "proven", "verified").when(x == "violated", "violated").otherwise("open")
+
+
+def invariant_assertion(predicate: Column, name: Column) -> Column:
+    return F.concat(F.lit("assert("), predicate, F.lit("); // "), name)

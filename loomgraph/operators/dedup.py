@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.components import components
+
 GAP = 5
 
 
@@ -45,6 +47,14 @@ def alike(vectors: DataFrame, id_: str, vector: str, block: str, least: float =
     return both.withColumn("similarity", dot).where(F.col("similarity") > least).select(F.col("i").alias("a"), F.col("j").alias("b"), "similarity")
 
 
+def embedding_clusters(vectors: DataFrame, id_: str, vector: str, block: str, least: float = 0.85) -> DataFrame:
+    """(id, cluster): the rows of a block that a chain of pairs above least joins, by
+    their least id; every row has one."""
+    pairs = alike(vectors, id_, vector, block, least).select("a", "b")
+    whole = components(pairs).withColumnRenamed("node", "__n")
+    return vectors.select(F.col(id_).alias("id")).join(whole, F.col("id") == F.col("__n"), "left").select("id", F.coalesce("component", "id").alias("cluster"))
+
+
 def skippable(patterns: DataFrame, coverage: DataFrame, never: list[str], least: float = 0.8) -> DataFrame:
     """Patterns that some tool covers well enough to skip, but those never to be skipped."""
     best = coverage.groupBy(F.col("pattern_id").alias("__p")).agg(F.max("precision").alias("precision")).where(F.col("precision") >= least)
@@ -53,15 +63,18 @@ def skippable(patterns: DataFrame, coverage: DataFrame, never: list[str], least:
 
 def mapped(findings: DataFrame, mapping: DataFrame) -> DataFrame:
     """findings with the pattern and confidence boost of their detector, null if unmapped."""
-    m = F.broadcast(mapping.select(F.col("detector").alias("__d"), "pattern_id", "boost"))  # a few hundred detectors
+    m = mapping.select(F.col("detector").alias("__d"), "pattern_id", "boost")
     return findings.join(m, F.col("detector") == F.col("__d"), "left").drop("__d")
 
 
 def resolve_rule(findings: DataFrame, rules: DataFrame, name: str = "check_id") -> DataFrame:
     """findings with rule_id: the rule of that id, else the longest rule id that is a
     suffix, else the last dotted part. The suffixes of a name are joined by
-    equality with the ids, so no pair of finding and rule is tried in vain."""
-    n = findings.withColumn("__f", F.monotonically_increasing_id()) if "id" not in findings.columns else findings.withColumn("__f", F.col("id"))
+    equality with the ids, so no pair of finding and rule is tried in vain. findings
+    need an id: a made one could differ when a lost task runs again."""
+    if "id" not in findings.columns:
+        raise ValueError("findings need an id")
+    n = findings.withColumn("__f", F.col("id"))
     tails = n.select("__f", F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), lambda k: F.substr(F.col(name), k))).alias("__t")).where("__t <> ''")
     best = tails.join(rules.select(F.col("id").alias("__r")), F.col("__t") == F.col("__r")).groupBy(F.col("__f").alias("__g")).agg(F.max_by("__r", F.length("__r")).alias("__best"))
     return n.join(best, F.col("__f") == F.col("__g"), "left").withColumn("rule_id", F.coalesce("__best", F.element_at(F.split(name, r"\."), -1))).drop("__f", "__g", "__best")

@@ -76,6 +76,40 @@ def coverage(expected: DataFrame, evaluated: DataFrame, key: str, by: str | None
     )
 
 
+def coverage_axes(results: DataFrame, axes: dict[str, list[str]], least: float = 0.5) -> DataFrame:
+    """(axis, value, n, share, gap) over several axes in one pass: what part of the
+    results each expected value of an axis covers by passing, 3 digits; a value
+    without results has 0, and a gap is a share below least. axes: column to its
+    expected values."""
+    spark = results.sparkSession
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("value")) for a in axes)))
+    counted = results.select("passed", each.alias("x")).groupBy("x.axis", "x.value").agg(F.count("*").alias("n"), F.bround(ratio(F.count_if("passed"), F.count("*")), 3).alias("share"))
+    wanted = spark.createDataFrame([(a, v) for a, vs in axes.items() for v in vs], "axis string, value string")  # one row an expected value
+    out = wanted.join(counted, ["axis", "value"], "left").select("axis", "value", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    return out.withColumn("gap", F.col("share") < least)
+
+
+def stability_gates(runs: DataFrame, by: str, most_cv: float = 0.15, most_findings: int = 2, most_tokens: float = 0.25, most_seconds: float = 0.30) -> DataFrame:
+    """Runs of one configuration (findings, tokens, seconds) against four gates: spread of
+    the findings (population deviation over mean), their largest difference, and the
+    largest relative differences of tokens and seconds, over their least."""
+    cv = F.coalesce(F.stddev_pop("findings") / F.nullif(F.avg("findings"), F.lit(0.0)), F.lit(0.0))
+    delta = lambda c: (F.max(c) - F.min(c)) / F.nullif(F.min(c), F.lit(0))
+    g = runs.groupBy(by).agg(cv.alias("findings_cv"), (F.max("findings") - F.min("findings")).alias("findings_delta"), delta("tokens").alias("tokens_delta"), delta("seconds").alias("seconds_delta"))
+    holds = (F.col("findings_cv") <= most_cv) & (F.col("findings_delta") <= most_findings) & (F.col("tokens_delta") <= most_tokens) & (F.col("seconds_delta") <= most_seconds)
+    return g.withColumn("passed", F.coalesce(holds, F.lit(False)))
+
+
+def group_profile(members: DataFrame, by: str, counts: dict[str, Column], flags: dict[str, Column], bands: tuple[tuple[int, str], ...] = ((20, "small"), (50, "medium"), (100, "large")), largest: str = "very_large") -> DataFrame:
+    """A row for each group: members, a count for each condition of counts, whether any
+    member has each flag (a missing one is no), and the band of its size."""
+    n = F.count("*")
+    band = F.lit(largest)
+    for below, name in reversed(bands):
+        band = F.when(n < below, name).otherwise(band)
+    return members.groupBy(by).agg(n.alias("members"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()), *(F.coalesce(F.bool_or(c), F.lit(False)).alias(k) for k, c in flags.items()), band.alias("size_band"))
+
+
 def variance_gate(runs: DataFrame, by: str, value: str, most: float = 0.15) -> DataFrame:
     """Coefficient of variation (population) and whether it stays within most."""
     cv = F.stddev_pop(value) / F.avg(value)
@@ -164,6 +198,33 @@ def completeness(checks: dict[str, Column]) -> tuple[Column, Column]:
     return (F.lit(len(checks)) - F.size(missing)) / F.lit(float(len(checks))), missing
 
 
+# What a knowledge document must hold, and a summary of it.
+DOCUMENT_FIELDS = (
+    "id", "name", "category", "subcategory", "severity", "one_liner", "tldr", "detection.graph_signals", "detection.indicators", "detection.checklist", "exploitation.attack_vector", "exploitation.attack_steps",
+    "exploitation.potential_impact", "mitigation.primary_fix", "mitigation.how_to_verify", "examples.vulnerable_code", "examples.fixed_code", "examples.real_exploits", "pattern_linkage", "metadata.sources",
+)
+SUMMARY_FIELDS = ("key_points", "attack_vector", "attack_steps", "mitigation", "safe_patterns", "vulnerable_code", "fixed_code", "incidents")
+# Words one of which a checklist must hold, in two categories.
+AUTH_CATEGORIES = ("access-control", "logic")
+AUTH_WORDS = {
+    "auth.permission_model": ("permission", "role", "access", "auth"),
+    "auth.trust_boundaries": ("trust boundary", "caller", "external"),
+    "logic.invariants": ("invariant", "state", "assumption"),
+    "abuse_case_checklist": ("abuse", "misuse", "edge case"),
+}
+
+
+def document_completeness(filled: Column, category: Column, checklist: Column, fields: tuple[str, ...] = DOCUMENT_FIELDS) -> tuple[Column, Column]:
+    """(share, missing names) of a document: filled is the array of the names that hold
+    something; documents of AUTH_CATEGORIES have four more checks on their checklist."""
+    missing = F.array_except(F.array(*map(F.lit, fields)), filled)
+    words = F.array(*(F.when(~F.coalesce(F.lower(checklist).rlike("|".join(w)), F.lit(False)), F.lit(name)) for name, w in AUTH_WORDS.items()))
+    strict = F.coalesce(category.isin(*AUTH_CATEGORIES), F.lit(False))
+    missing = F.array_sort(F.concat(missing, F.when(strict, F.array_compact(words)).otherwise(F.array().cast("array<string>"))))
+    total = F.lit(float(len(fields))) + F.when(strict, len(AUTH_WORDS)).otherwise(0)
+    return (total - F.size(missing)) / total, missing
+
+
 def tier_rate(actual: Column, tier: Column) -> Column:
     """Whether a test tier's pass rate reaches its minimum."""
     least = F.when(tier == "critical", 1.0).when(tier == "important", 0.25).otherwise(0.05)

@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.model import PropertyGraph
+from loomgraph.model import NODE_COLUMNS, PropertyGraph
 from loomgraph.predicates import Condition, Match, clause_status, condition, happens_before, has_all_operations, has_any_operation, has_operation, match, operator, signature_matches, tiers
 
 # Severities, lowest first, and other names for them.
@@ -176,6 +176,58 @@ def _with_labels(nodes: DataFrame, rule: Rule, labels: DataFrame | None) -> Data
     return nodes
 
 
+# Why evidence may be missing, and why something was left out.
+EVIDENCE_MISSING = {
+    "taint_dataflow_unavailable": "Taint analysis not available",
+    "dominance_unknown": "Dominance cannot be proven",
+    "interprocedural_truncated": "Cross-function analysis truncated",
+    "external_return_untracked": "External return values not tracked",
+    "aliasing_unknown": "Storage aliasing uncertain",
+    "sanitizer_uncertain": "Sanitizer effect uncertain",
+    "legacy_no_evidence": "Legacy v1 output without evidence",
+}
+OMISSION = {
+    "modifier_not_traversed": "Modifier body not analyzed",
+    "inherited_not_traversed": "Inherited function not analyzed",
+    "external_target_unknown": "External call target unknown",
+    "budget_exceeded": "Token budget exceeded",
+    "depth_limit_reached": "Analysis depth limit reached",
+    "library_excluded": "Library code excluded",
+}
+
+
+def reason_codes(spark) -> DataFrame:
+    """(kind, code, meaning) of both vocabularies."""
+    rows = [("evidence_missing", c, m) for c, m in EVIDENCE_MISSING.items()] + [("omission", c, m) for c, m in OMISSION.items()]
+    return spark.createDataFrame(rows, "kind string, code string, meaning string")
+
+
+def label_coverage(nodes: DataFrame, required: tuple[str, ...], labels: DataFrame) -> DataFrame:
+    """nodes with held (how many of the required labels) and coverage: "decided" if all are
+    there, "unknown" if some are, "skippable" if none is. What run_rules leaves out as
+    undecided is what has not "decided" here."""
+    held = labels.where(F.col("label_id").isin(list(required))).groupBy(F.col("function_id").alias("__f")).agg(F.count_distinct("label_id").alias("held"))
+    out = nodes.join(held, F.col("id") == F.col("__f"), "left").drop("__f").withColumn("held", F.coalesce("held", F.lit(0)).cast("int"))
+    return out.withColumn("coverage", F.when(F.col("held") >= len(set(required)), "decided").when(F.col("held") > 0, "unknown").otherwise("skippable"))
+
+
+def graph_slice(graph: PropertyGraph, rules: list[Rule], lens: str | None = None, rule_id: str | None = None) -> PropertyGraph:
+    """The graph with only the node types that the rules of a lens (or one rule) look
+    at, and of those only the properties that their conditions name."""
+    chosen = select_rules(rules, [rule_id] if rule_id else [], [lens] if lens else [])
+    wanted: dict[str, set[str]] = {}
+    for r in chosen:
+        wanted.setdefault(r.scope, set()).update(c.property for c in r.conditions())
+        for e in [*r.edges, *(s for p in r.paths for s in p.steps)]:
+            if e.target_type:
+                own = wanted.setdefault(e.target_type, set())
+                if e.target_match is not None:
+                    own.update(c.property for part in ("all", "any", "none") for c in getattr(e.target_match, part))
+    nodes = {t: df.select(*(c for c in df.columns if c in NODE_COLUMNS or c in wanted[t])) for t, df in graph.node_tables.items() if t in wanted}
+    types = {t for r in chosen for e in [*r.edges, *(s for p in r.paths for s in p.steps)] for t in ([e.type] if isinstance(e.type, str) else e.type)}
+    return PropertyGraph(nodes, {t: df for t, df in graph.edge_tables.items() if t in types}, graph.meta)
+
+
 def confidence_rank(confidence: Column) -> Column:
     return F.when(F.lower(confidence) == "high", 3).when(F.lower(confidence) == "medium", 2).when(F.lower(confidence) == "low", 1).otherwise(0)
 

@@ -29,15 +29,21 @@ def _place(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
+    files, where = _place(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
 def table(df: DataFrame, name: str, made: list | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut there
     and a lost executor costs no recomputation of what came before. The files go
     when the driver's JVM ends, as a result that is still lazy may read them, or
     with drop(made) where a list is given."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-    files, where = _place(spark, path)
-    files.deleteOnExit(where)
+    path = folder(spark, name)
     df.write.parquet(path)
     if made is not None:
         made.append((spark, path, None))

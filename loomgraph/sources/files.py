@@ -97,6 +97,13 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def saved(rows: DataFrame, path: str) -> DataFrame:
+    """rows written as JSON lines (label overlays, confidence bounds, benchmark results)
+    and read again with their own schema."""
+    rows.write.mode("overwrite").json(path)
+    return rows.sparkSession.read.schema(rows.schema).json(path)
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Metric points (ts, run_id, metric, value, ...) of snapshot files, in order of time."""
     value = "value double, target double, threshold_warning double, threshold_critical double, unit string"
@@ -166,19 +173,38 @@ def findings_graph(findings: DataFrame, tool: str = "semgrep") -> DataFrame:
     )
 
 
-def evaluation_inputs(payloads: DataFrame) -> DataFrame:
-    """Hook payloads that name a tool use, each with its run id, tools and queries."""
-    use = F.coalesce(F.nullif(F.col("tool_use_id"), F.lit("")), F.nullif(F.col("data.tool_use_id"), F.lit("")))
-    queries = F.coalesce(F.transform("data.graph_queries", lambda q: q["query_text"]), F.array().cast("array<string>"))
+#: Where a hook's observation may stand, in this order, each in its data before the payload itself.
+RESPONSE_FIELDS = ("raw_observation", "response_text", "output", "result")
+
+
+def evaluation_inputs(payloads: DataFrame, queries_field: str = "graph_queries", query_event: str = "graph_query") -> DataFrame:
+    """Hook payloads that name a tool use, each with its run id, tools, queries, duration
+    and response (cut to 4,000 characters). Tools are the named one, then those of
+    tool_sequence; a query event without any was run by Bash. Fields that the
+    payloads lack are read as missing."""
+    inner, outer = set(payloads.schema["data"].dataType.names), set(payloads.columns)
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    found = lambda name: [text(f"data.{name}")] * (name in inner) + [text(name)] * (name in outer)
+    none = F.array().cast("array<string>")
+    tools = F.when(text("data.tool_name").isNotNull(), F.array("data.tool_name")).otherwise(none) if "tool_name" in inner else none
+    if "tool_sequence" in inner:
+        tools = F.concat(tools, F.coalesce("data.tool_sequence", none))
+    if "event_type" in outer:
+        tools = F.when((F.size(tools) == 0) & (F.col("event_type") == query_event), F.array(F.lit("Bash"))).otherwise(tools)
+    queries = F.coalesce(F.transform(f"data.{queries_field}", lambda q: q["query_text"]), none) if queries_field in inner else none
+    if "query" in inner:
+        queries = F.concat(queries, F.when(F.col("data.query").isNotNull(), F.array("data.query")).otherwise(none))
+    response = [c for name in RESPONSE_FIELDS for c in found(name)]
+    use = F.coalesce(*found("tool_use_id"))
     return (
         payloads.withColumn("use", use)
         .where("use is not null")
         .select(
-            F.concat_ws(":", F.nullif(F.col("session_id"), F.lit("")), F.col("use")).alias("run_id"),
-            F.when(F.col("data.tool_name").isNotNull(), F.array("data.tool_name")).otherwise(F.array().cast("array<string>")).alias("tools"),
+            F.concat_ws(":", text("session_id"), F.col("use")).alias("run_id"),
+            tools.alias("tools"),
             queries.alias("queries"),
-            F.coalesce("data.duration_ms", F.lit(0.0)).alias("duration_ms"),
-            F.substring(F.coalesce(F.nullif(F.col("data.response_text"), F.lit("")), F.nullif(F.col("data.raw_observation"), F.lit("")), F.lit("")), 1, 4000).alias("response"),
+            (F.coalesce("data.duration_ms", F.lit(0.0)) if "duration_ms" in inner else F.lit(0.0)).alias("duration_ms"),
+            F.substring(F.coalesce(*response, F.lit("")), 1, 4000).alias("response"),
         )
     )
 
