@@ -15,7 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from loomgraph.llm import chat, components, decontam, fingerprints, langid, licenses, linededup, mixing, neardup, quality, textvec, tokens
+from loomgraph.llm import chat, decontam, fingerprints, langid, licenses, linededup, mixing, neardup, quality, textvec, tokens
+from loomgraph.operators.components import components
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType())])
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -571,7 +572,7 @@ def test_linked_is_exact():
 def test_components_of_chains_and_stars(spark):
     r = random.Random(4)
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200 + r.randrange(50), 200 + r.randrange(50)) for _ in range(40)]
-    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     parent = {x: x for ab in links for x in ab}
 
     def find(x):
@@ -583,6 +584,6 @@ def test_components_of_chains_and_stars(spark):
         x, y = sorted((find(a), find(b)))
         parent[y] = x
     assert got == {x: find(x) for ab in links if ab[0] != ab[1] for x in ab}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
