@@ -263,7 +263,7 @@ def context_packs(spark, d) -> DataFrame:
     """Items of an id set in order, with count, bytes and the digest of their text."""
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.col("doc_id").alias("name"), F.col("text").alias("content"), "source")
     ids = read(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct()
-    return overlay.context_pack(docs, ids, "source").withColumn("pack", F.sha2("pack", 256))
+    return overlay.context_pack(docs, ids, "source").drop("part").withColumn("pack", F.sha2("pack", 256))
 
 
 @query("""select conv_id, case when bool_or(role = 'assistant' and not regexp_matches(text, '^A')) then 'success' when bool_or(role = 'assistant') then 'failed' else 'not_attempted' end as state,

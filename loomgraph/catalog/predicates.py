@@ -280,13 +280,13 @@ def result_clauses(spark, d) -> DataFrame:
     return m.select("node_id", *(F.size(f"{s}_clauses").alias(s) for s in ("matched", "failed", "unknown")), "verdict")
 
 
-@query(f"""select coalesce('Nation:' || c_nationkey, 'unknown') as owner, count(*) filter (pattern_id in ('debt', 'rich-builder')) as "Credit", count(*) filter (pattern_id = 'rich-builder') as "Sales", count(*) filter (pattern_id = 'large-part') as "Stock", count(*) as total
+@query(f"""select coalesce('Nation:' || c_nationkey, 'unknown') as owner, count(*) filter (pattern_id in ('debt', 'rich-builder')) as "Credit", count(*) filter (pattern_id = 'rich-builder') as "Sales", count(*) filter (pattern_id = 'large-part') as "Stock", count(*) as total, count(*) as listed
 from {_FINDINGS} f left join customer on node_id = 'Customer:' || c_custkey where pattern_id in ('debt', 'rich-builder', 'large-part') group by 1""")
 def lens_report(spark, d) -> DataFrame:
     g = trade_graph(spark, d)
     found = rules.run_rules(g, [r for r in sample_rules() if r.id in ("debt", "rich-builder", "large-part")])
     owner = read(spark, d, "customer").select(key("Customer", "c_custkey").alias("node_id"), key("Nation", "c_nationkey").alias("owner"))
-    return rules.lens_report(found, owner, ["Credit", "Sales", "Stock"]).drop("findings")
+    return rules.lens_report(found, owner, ["Credit", "Sales", "Stock"]).select("owner", "Credit", "Sales", "Stock", "total", F.size("findings").cast("bigint").alias("listed"))
 
 
 @query(f"""select lens, f.severity, count(*) as n from {_FINDINGS} f join (values ('debt', 'Credit'), ('rich-builder', 'Credit'), ('rich-builder', 'Sales'), ('large-part', 'Stock'), ('debt-buys-large', 'Credit'), ('open-order-by-rich', 'Sales')) t(p, lens) on p = pattern_id group by 1, 2""")
@@ -325,7 +325,7 @@ def json_query(spark, d) -> DataFrame:
 
 
 @query("""select 'find customers where is_indebted and mktsegment = ' || c_mktsegment as text, cast(count(*) filter (c_acctbal < 0) as varchar) as outcome from customer group by c_mktsegment
-union all select * from (values ('find customers', 'parse_error'), ('find customers where is_indebtd', 'Did you mean: is_indebted?'), ('parts where', 'Part')) t(text, outcome)""")
+union all select * from (values ('find customers', 'parse_error'), ('find customers where is_indebtd', 'nearest to ''is_indebtd'': is_indebted'), ('parts where', 'Part')) t(text, outcome)""")
 def text_queries(spark, d) -> DataFrame:
     """The answers of texts made from the segments there are, and what texts with faults say."""
     g = trade_graph(spark, d)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import components
+from loomgraph.workers import ready
 
 GAP = 5
 
@@ -28,23 +33,60 @@ def merged(clusters: DataFrame, by: list[str], tool: str, confidence: str) -> Da
     return out.withColumn("boosted", agreement_boost(F.col("best"), F.col("tools")))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def alike(vectors: DataFrame, id_: str, vector: str, block: str, least: float = 0.85, salts: int = 8) -> DataFrame:
-    """(a, b, similarity), a < b, of one block above least. A block's rows are dealt to
-    salts; each pair of salts is a join key of its own, so a large block is many
-    tasks. Blocks are the caller's bound on the work (a label, a place)."""
-    unit = vectors.withColumn("__n", F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
-    rows = unit.select(F.col(id_).alias("i"), F.transform(vector, lambda v: v.cast("double") / F.col("__n")).alias("v"), F.col(block).alias("g"), F.pmod(F.xxhash64(id_), F.lit(salts)).alias("s"))
-    keys = F.explode(F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda o: F.struct(F.least(F.col("s"), o).alias("x"), F.greatest(F.col("s"), o).alias("y"))))
-    left = rows.select("i", "v", "g", "s", keys.alias("k"))
-    right = left.select(F.col("i").alias("j"), F.col("v").alias("w"), F.col("g").alias("h"), F.col("s").alias("t"), F.col("k").alias("l"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    both = left.join(right, (F.col("g") == F.col("h")) & (F.col("k") == F.col("l")) & (F.col("i") < F.col("j")) & ((F.col("s") != F.col("t")) | (F.col("k.x") == F.col("k.y"))))
-    return both.withColumn("similarity", dot).where(F.col("similarity") > least).select(F.col("i").alias("a"), F.col("j").alias("b"), "similarity")
+def alike(vectors: DataFrame, id_: str, vector: str, block: str, least: float = 0.85, rows: int = 1024) -> DataFrame:
+    """(a, b, similarity), a < b, of one block whose cosine is above least. A block's
+    rows are dealt to parts of about `rows`, and each pair of parts is one matrix
+    product in one task, however large the block. Blocks are the caller's bound on the
+    work (a label, a place): every pair of a block is compared. Null ids and vectors,
+    and vectors without a length, are alike to nothing."""
+    spark = vectors.sparkSession
+    ready(spark)
+    own = vectors.select(F.col(id_).alias("i"), F.col(vector).cast("array<double>").alias("v"), F.col(block).alias("g")).where("i is not null and v is not null")
+    sizes = own.groupBy(F.col("g").alias("h")).agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    own = own.join(sizes, F.col("g").eqNullSafe(F.col("h"))).withColumn("s", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("s", o).alias("x"), F.greatest("s", o).alias("y")))
+    dealt = own.select("g", "i", "v", "s", F.explode(meets).alias("m")).select("g", "m.x", "m.y", "s", "i", "v")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind = dict(own.dtypes)["i"]
+    return dealt.repartition(n, "g", "x", "y").sortWithinPartitions("g", "x", "y", "s").mapInArrow(_products(least), f"a {kind}, b {kind}, similarity double")
+
+
+def _products(least: float):
+    """Cosines of the pairs of two parts; rows of (g, x, y) come one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            kind = batch.schema.field("i").type
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield from _compared(held, least, kind)
+                    held = []
+                held.append(row)
+        if held:
+            yield from _compared(held, least, kind)
+
+    return run
+
+
+def _compared(held: list[tuple], least: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    _, x, y, *_ = held[0]
+    sides = []
+    for part in (x, y):
+        rows = [r for r in held if r[3] == part]
+        v = np.array([r[5] for r in rows], np.float64).reshape(len(rows), -1)
+        length = np.sqrt((v * v).sum(1))
+        sides.append(([r[4] for r, n in zip(rows, length, strict=True) if n > 0], v[length > 0] / length[length > 0, None]))
+        if x == y:
+            sides.append(sides[0])
+            break
+    (ids, v), (others, w) = sides
+    if not ids or not others:
+        return
+    found = v @ w.T
+    at, to = np.nonzero(found > least)
+    pairs = [(min(ids[p], others[q]), max(ids[p], others[q]), float(found[p, q])) for p, q in zip(at.tolist(), to.tolist(), strict=True) if (ids[p] < others[q] if x == y else ids[p] != others[q])]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in pairs], kind), pa.array([r[1] for r in pairs], kind), pa.array([r[2] for r in pairs], pa.float64())], ["a", "b", "similarity"])
 
 
 def embedding_clusters(vectors: DataFrame, id_: str, vector: str, block: str, least: float = 0.85) -> DataFrame:

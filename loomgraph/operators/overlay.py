@@ -61,13 +61,18 @@ def find_item(items: DataFrame, id_: str, pool: str | None = None) -> DataFrame:
 # Context items
 
 
-def context_pack(items: DataFrame, ids: DataFrame | None = None, by: str | None = None) -> DataFrame:
+def context_pack(items: DataFrame, ids: DataFrame | None = None, by: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
     """Items in order of (type, name) joined by blank lines, with their count and bytes;
-    ids that no item has are ignored."""
+    ids that no item has are ignored. A pack of more than most_bytes goes on in the next
+    part, in the same order, so that no row holds more than that and one item."""
     if ids is not None:
         items = items.join(ids.select(F.col("id").alias("__k")), F.col("id") == F.col("__k"), "left_semi")
+    keys = [by] if by else []
+    order = Window.partitionBy(*keys).orderBy("type", "name", "content").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    items = items.withColumn("part", F.floor(F.coalesce(F.sum(size).over(order), F.lit(0)) / most_bytes))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("type", "name", "content"))), lambda x: x["content"])
-    return items.groupBy(*([by] if by else [])).agg(F.count("*").alias("items"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"), F.array_join(ordered, "\n\n").alias("pack"))
+    return items.groupBy(*keys, "part").agg(F.count("*").alias("items"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.array_join(ordered, "\n\n").alias("pack"))
 
 
 def attempts(calls: DataFrame, key: str = "session_id") -> DataFrame:

@@ -285,12 +285,16 @@ def rules_table(spark, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "id string, name string, scope string, severity string, lens array<string>, mode string, n_conditions int")
 
 
-def lens_report(findings: DataFrame, owner: DataFrame, lenses: list[str]) -> DataFrame:
-    """A row for each owner (or "unknown"): a count for each lens, 0 if none, and its
-    findings in order. owner: node_id, owner."""
+def lens_report(findings: DataFrame, owner: DataFrame, lenses: list[str], part_rows: int = 10_000) -> DataFrame:
+    """A row for each owner (or "unknown") and part: a count for each lens over all of
+    the owner's findings, 0 if none, and the part's findings in order. An owner with
+    more than about part_rows findings has several parts, so that no row holds them
+    all. owner: node_id, owner."""
     own = findings.join(owner.withColumnRenamed("node_id", "__n"), F.col("node_id") == F.col("__n"), "left").withColumn("owner", F.coalesce("owner", F.lit("unknown")))
-    counts = [F.count_if(F.array_contains("lens", x)).alias(x) for x in lenses]
-    return own.groupBy("owner").agg(*counts, F.count("*").alias("total"), F.sort_array(F.collect_list(F.struct("pattern_id", "node_id", "severity"))).alias("findings")).orderBy("owner")
+    counts = own.groupBy("owner").agg(*(F.count_if(F.array_contains("lens", x)).alias(x) for x in lenses), F.count("*").alias("total"))
+    parts = own.join(counts.select(F.col("owner").alias("__o"), F.ceil(F.col("total") / part_rows).alias("__parts")), F.col("owner") == F.col("__o"))
+    parts = parts.groupBy("owner", F.pmod(F.xxhash64("node_id", "pattern_id"), F.col("__parts")).cast("int").alias("part")).agg(F.sort_array(F.collect_list(F.struct("pattern_id", "node_id", "severity"))).alias("findings"))
+    return counts.join(parts, "owner").select("owner", "part", *lenses, "total", "findings").orderBy("owner", "part")
 
 
 def clause_matrix(findings_explain: DataFrame, unknown_share: float = 0.3, unknown_most: int = 2) -> DataFrame:

@@ -85,18 +85,15 @@ def close_matches(name: str, known: Iterable[str]) -> list[str]:
 
 
 def apply_hints(plan: Plan, known: Collection[str]) -> Plan:
-    """Warns of properties and operators that the schema lacks, with suggestions; never an error."""
-    warnings, hints = set(plan.warnings), set(plan.hints)
-    named = [Condition(p) for p in plan.properties if p not in META_KEYS]
-    for cond in [*named, *(conditions_of(plan.match) if plan.match else []), *(conditions_of(plan.where) if plan.where is not None else [])]:
-        if cond.property not in known:
-            warnings.add(f"Unknown property '{cond.property}'.")
-            if near := close_matches(cond.property, known):
-                hints.add(f"Did you mean: {', '.join(near)}?")
-        if operator(cond.op) not in OPERATORS:
-            warnings.add(f"Unsupported operator '{cond.op}'.")
-            hints.add(f"Supported operators: {', '.join(OPERATORS)}.")
-    plan.warnings, plan.hints = sorted(warnings), sorted(hints)
+    """Tells of what the schema lacks, with the nearest names; never an error. Every
+    condition of the plan is checked, whichever of its forms it came in."""
+    trees = [tree for tree in (plan.match, plan.where) if tree is not None]
+    asked = [c for tree in trees for c in conditions_of(tree)] + [Condition(p) for p in plan.properties if p not in META_KEYS]
+    strange = sorted({c.property for c in asked} - set(known))
+    signs = sorted({str(c.op) for c in asked if operator(c.op) not in OPERATORS})
+    near = {name: close_matches(name, known) for name in strange}
+    plan.warnings = sorted({*plan.warnings, *(f"no node has '{name}'" for name in strange), *(f"'{sign}' is no operator" for sign in signs)})
+    plan.hints = sorted({*plan.hints, *(f"nearest to '{name}': {', '.join(found)}" for name, found in near.items() if found), *([f"operators: {', '.join(OPERATORS)}"] if signs else [])})
     return plan
 
 

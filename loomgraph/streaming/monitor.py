@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.workers import ready
+
 
 def watch(spark: SparkSession, folder: str, schema, files_per_trigger: int = 100, form: str = "parquet") -> DataFrame:
     """Files that appear in a folder, as a stream."""
@@ -69,6 +71,7 @@ def cooled(alerts_: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     key and time are counted first; a key's times are then walked in order, one at a
     time, with one number held. A null time comes never out."""
     rows = alerts_.where(F.col(ts).isNotNull()).groupBy(F.col(key).alias("__key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("__at")).agg(F.count("*").alias("__n"))
+    ready(rows.sparkSession)
     kind = dict(rows.dtypes)["__key"]
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     walked = rows.repartition(parts, "__key").sortWithinPartitions("__key", "__at").mapInArrow(_cool(seconds * 1_000_000), f"__key {kind}, __at bigint, __n bigint")

@@ -63,7 +63,7 @@ def test_text_plans():
     text = '{"match":{"all":[{"property":"visibility","op":"=","value":"external"}]}}'
     assert parse(text).kind == "logic" and parse(text).raw_text == text and parse(text).match.all[0].op == "eq"
     hinted = apply_hints(parse("find functions where writs_state"), {"writes_state"})
-    assert hinted.warnings and hinted.hints == ["Did you mean: writes_state?"]
+    assert hinted.warnings and hinted.hints == ["nearest to 'writs_state': writes_state"]
     assert parse("{broken").error and parse("find functions where (a").error and parse("find where x").error
 
 
