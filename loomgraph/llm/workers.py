@@ -1,31 +1,19 @@
-"""Makes this package importable in Python workers, wherever they run."""
+"""Python workers of this subpackage: the package's sources, and batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import SparkSession
 
+from loomgraph import workers
+
 #: Rows of a batch that goes to a Python worker; texts are long, so the default of 10,000 is much memory.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_sent: set[str] = set()
 
 
 def ready(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors, once for each application, and
-    lowers the session's rows of an Arrow batch to BATCH_ROWS."""
+    """Sends the package's sources to the executors and lowers the session's rows of an
+    Arrow batch to BATCH_ROWS."""
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.applicationId in _sent:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph-sources.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    context.addPyFile(str(target))
-    _sent.add(context.applicationId)
+    workers.ready(spark)
