@@ -111,15 +111,12 @@ def mapped(findings: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def resolve_rule(findings: DataFrame, rules: DataFrame, name: str = "check_id") -> DataFrame:
     """findings with rule_id: the rule of that id, else the longest rule id that is a
-    suffix, else the last dotted part. The suffixes of a name are joined by
-    equality with the ids, so no pair of finding and rule is tried in vain. findings
-    need an id: a made one could differ when a lost task runs again."""
-    if "id" not in findings.columns:
-        raise ValueError("findings need an id")
-    n = findings.withColumn("__f", F.col("id"))
-    tails = n.select("__f", F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), lambda k: F.substr(F.col(name), k))).alias("__t")).where("__t <> ''")
+    suffix, else the last dotted part. Each distinct name is resolved once; its suffixes
+    are joined by equality with the ids, so no pair of name and rule is tried in vain."""
+    names = findings.select(F.col(name).alias("__f")).where("__f is not null").distinct()
+    tails = names.select("__f", F.explode(F.transform(F.sequence(F.lit(1), F.length("__f")), lambda k: F.substr(F.col("__f"), k))).alias("__t")).where("__t <> ''")
     best = tails.join(rules.select(F.col("id").alias("__r")), F.col("__t") == F.col("__r")).groupBy(F.col("__f").alias("__g")).agg(F.max_by("__r", F.length("__r")).alias("__best"))
-    return n.join(best, F.col("__f") == F.col("__g"), "left").withColumn("rule_id", F.coalesce("__best", F.element_at(F.split(name, r"\."), -1))).drop("__f", "__g", "__best")
+    return findings.join(best, F.col(name) == F.col("__g"), "left").withColumn("rule_id", F.coalesce("__best", F.element_at(F.split(name, r"\."), -1))).drop("__g", "__best")
 
 
 def jaccard_pairs(sets: DataFrame, id_: str, items: str, least: float = 0.5) -> DataFrame:
