@@ -7,6 +7,13 @@ from left to right and merges stay inside them, so from such a place on the
 right chunk has the tokens that the whole text has. If the overlap holds no such
 place (one word fills it) it is widened, in the end to the rest of the text.
 
+A shorter text is encoded by runs of ASCII white space and what follows where the
+tokenizer cuts before such white space anyway (a byte-level one with its own
+pattern, no normaliser and no added prefix): no pre-token goes on from another
+character into white space, so each run has the tokens that it has in the text,
+and the library encodes a run once for many texts. Texts that hold other white
+space, a special string or a very long run are encoded whole.
+
 A null text has no tokens and no bytes. Rows are independent: ties, repeated
 rows and empty tables need no rule. Columns n_bytes, n_tokens and over_limit of
 the input are replaced.
@@ -14,7 +21,9 @@ the input are replaced.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,6 +38,12 @@ OVERLAP_CHARS = 256
 #: A boundary this close to a chunk's end may be an effect of the end.
 MARGIN_CHARS = 64
 
+#: Runs whose counts are kept, and the longest that is kept.
+RUNS, RUN_CHARS = 500_000, 64
+_SPACE = r" \t\n\r\f\v"
+_RUN = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_OTHER_SPACE = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 #: (tokens, [(place, index of token)]) of a text: places where pre-tokens begin.
 Encoder = Callable[[str], tuple[int, list[tuple[int, int]]]]
 
@@ -46,7 +61,38 @@ def json_encoder(path: str) -> tuple[Encoder, Callable[[list[str]], list[int]]]:
         words, spans = e.word_ids, e.offsets
         return len(words), [(spans[k][0], k) for k in range(1, len(words)) if words[k] != words[k - 1] and spans[k][0] < spans[k][1] and not text[spans[k][0]].isspace()]
 
-    return one, lambda many: [len(e) for e in tokenizer.encode_batch_fast(many, add_special_tokens=False)]
+    def whole(many: list[str]) -> list[int]:
+        return [len(e) for e in tokenizer.encode_batch_fast(many, add_special_tokens=False)]
+
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    before = made.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    if plain and not any(made.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")):
+        return one, by_runs(whole, [t["content"] for t in made.get("added_tokens", ())])
+    return one, whole
+
+
+def by_runs(whole: Callable[[list[str]], list[int]], special: list[str]) -> Callable[[list[str]], list[int]]:
+    """Counts of texts from those of their runs, which whole() gives."""
+    odd = re.compile("|".join([_OTHER_SPACE, *map(re.escape, special)]))
+    held: dict[str, int] = {}
+
+    def many(texts: list[str]) -> list[int]:
+        if len(held) > RUNS:
+            held.clear()
+        # a text without runs is encoded whole
+        runs = [[] if odd.search(x) else _RUN.findall(x) for x in texts]
+        new = set().union(*runs).difference(held)
+        if long := {x for x in new if len(x) > RUN_CHARS}:
+            runs = [r if long.isdisjoint(r) else [] for r in runs]
+            new -= long
+        names = list(new)
+        held.update(zip(names, whole(names), strict=True))
+        rest = iter(whole([x for x, r in zip(texts, runs, strict=True) if not r]))
+        return [sum(map(held.__getitem__, r)) if r else next(rest) for r in runs]
+
+    return many
 
 
 def model_encoder(path: str) -> tuple[Encoder, Callable[[list[str]], list[int]]]:

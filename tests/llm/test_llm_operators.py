@@ -1,5 +1,6 @@
 """Each operator on odd rows, and against a plain version of itself."""
 
+import functools
 import hashlib
 import importlib.util
 import math
@@ -277,6 +278,25 @@ def test_long_texts_count_as_whole_ones(name):
             assert tokens.count_long(one, t, chunk, overlap) == n, t[:40]
 
 
+_ODD = st.text(st.sampled_from(list("ab'sé.,;-12 \t\n\r\x0b\x0c\x1c\x85\xa0\u200a\u3000\u180e中字😀\u0301<|>")) | st.characters(exclude_categories=["Cs"]), max_size=60)
+
+
+@needs_tokenizers
+@given(st.lists(_ODD | st.sampled_from(["<|endoftext|> a", "a  b\n\n c", "don't  we'll\n", " ", "", "x" * 200]), min_size=1, max_size=6))
+@settings(max_examples=400, deadline=None)
+def test_texts_counted_by_runs_count_as_whole_ones(many):
+    tokenizer, count = _runs()
+    assert count(many) == [len(tokenizer.encode(x, add_special_tokens=False).ids) for x in many]
+
+
+@functools.cache
+def _runs():
+    from tokenizers import Tokenizer
+
+    path = str(PUBLIC.path("byte_bpe_50k.json"))
+    return Tokenizer.from_file(path), tokens.load(path)[1]
+
+
 @needs_tokenizers
 def test_token_counts_of_odd_rows(spark, odd, none):
     from tokenizers import Tokenizer
