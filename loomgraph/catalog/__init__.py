@@ -23,6 +23,6 @@ def query(sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
-    from loomgraph.catalog import evaluation, graph, predicates, reports, scalars, streams  # noqa: F401
+    from loomgraph.catalog import evaluation, graph, predicates, reports, scalars, stored, streams  # noqa: F401
 
     return QUERIES, SQL

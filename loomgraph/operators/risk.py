@@ -92,3 +92,32 @@ def enriched(findings: DataFrame, taxonomy: DataFrame, key: str) -> DataFrame:
     """findings with the columns of a taxonomy row of that key, null if there is none."""
     names = [c for c in taxonomy.columns if c != key]
     return findings.join(taxonomy.select(F.col(key).alias("__k"), *names), F.col(key) == F.col("__k"), "left").drop("__k")
+
+
+def rollup(counts: DataFrame, parents: DataFrame, value: str) -> DataFrame:
+    """(tag, value): each tag's own value and those of all tags below it, by a table of
+    (tag, parent) without rings. A round goes up one level; its rows are one a tag."""
+    with work() as made:
+        up = table(parents.select(F.col("tag").alias("__c"), "parent").distinct(), "parents", made)
+        front = table(counts.groupBy("tag").agg(F.sum(value).alias(value)), "tags", made)
+        held = [front]
+        while True:
+            front = table(front.join(up, F.col("tag") == F.col("__c")).groupBy(F.col("parent").alias("tag")).agg(F.sum(value).alias(value)), "tags", made)
+            if front.isEmpty():
+                break
+            held.append(front)
+        out = held[0]
+        for h in held[1:]:
+            out = out.unionByName(h)
+        return table(out.groupBy("tag").agg(F.sum(value).alias(value)), "rollup")
+
+
+def learned_rate(findings: DataFrame, history: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """findings with rate and tier: the share of past findings (false_positive) with the
+    same keys if there were at least `least`, else with the same first key, else 0."""
+    share = F.avg(F.col("false_positive").cast("int"))
+    place = history.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(share.alias("__near"), F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")
+    pattern = history.groupBy(F.col(keys[0]).alias("__first")).agg(share.alias("__far"))
+    out = findings.join(place, [F.col(k) == F.col(f"__{k}") for k in keys], "left").join(pattern, F.col(keys[0]) == F.col("__first"), "left")
+    tier = F.when(F.col("__near").isNotNull(), "place").when(F.col("__first").isNotNull(), "pattern").otherwise("none")
+    return out.select(*findings.columns, F.coalesce("__near", "__far", F.lit(0.0)).alias("rate"), tier.alias("tier"))

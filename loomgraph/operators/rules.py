@@ -8,7 +8,7 @@ paths or labels add semi joins over the nodes that their columns let through.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 from typing import Any
 
@@ -228,6 +228,24 @@ def graph_slice(graph: PropertyGraph, rules: list[Rule], lens: str | None = None
     return PropertyGraph(nodes, {t: df for t, df in graph.edge_tables.items() if t in types}, graph.meta)
 
 
+_FLIPPED = {"eq": "neq", "neq": "eq", "in": "not_in", "not_in": "in", "gt": "lte", "lte": "gt", "gte": "lt", "lt": "gte"}
+
+
+def mutations(rule: Rule, factor: float = 1.1) -> list[Rule]:
+    """Rules that differ from rule in one required condition: without it, with its
+    operator turned round, and with its threshold times factor. Each has a name of its own."""
+    out = []
+    for k, c in enumerate(rule.match.all):
+        changes: list[tuple[str, tuple[Condition, ...]]] = [(f"drop {c.property}", ())]
+        if (op := operator(c.op)) in _FLIPPED:
+            changes.append((f"flip {c.property}", (replace(c, op=_FLIPPED[op]),)))
+        if isinstance(c.value, (int, float)) and not isinstance(c.value, bool):
+            changes.append((f"{c.property} * {factor:g}", (replace(c, value=c.value * factor),)))
+        for name, new in changes:
+            out.append(replace(rule, id=f"{rule.id}~{name}", match=replace(rule.match, all=(*rule.match.all[:k], *new, *rule.match.all[k + 1 :]))))
+    return out
+
+
 def confidence_rank(confidence: Column) -> Column:
     return F.when(F.lower(confidence) == "high", 3).when(F.lower(confidence) == "medium", 2).when(F.lower(confidence) == "low", 1).otherwise(0)
 
