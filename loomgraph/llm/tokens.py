@@ -7,12 +7,14 @@ from left to right and merges stay inside them, so from such a place on the
 right chunk has the tokens that the whole text has. If the overlap holds no such
 place (one word fills it) it is widened, in the end to the rest of the text.
 
-A shorter text is encoded by runs of ASCII white space and what follows where the
+Texts and chunks are encoded by runs of ASCII white space and what follows where the
 tokenizer cuts before such white space anyway (a byte-level one with its own
 pattern, no normaliser and no added prefix): no pre-token goes on from another
 character into white space, so each run has the tokens that it has in the text,
-and the library encodes a run once for many texts. Texts that hold other white
-space, a special string or a very long run are encoded whole.
+and the library encodes a run once for many texts. New runs that begin with one
+blank are encoded end to end; a token that begins with a blank begins a run. What
+holds other white space, a special string or a very long run is encoded whole.
+A worker keeps a tokenizer and its runs for all its tasks.
 
 A null text has no tokens and no bytes. Rows are independent: ties, repeated
 rows and empty tables need no rule. Columns n_bytes, n_tokens and over_limit of
@@ -25,7 +27,9 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -40,8 +44,12 @@ MARGIN_CHARS = 64
 
 #: Runs whose counts are kept, and the longest that is kept.
 RUNS, RUN_CHARS = 500_000, 64
+#: Runs that are encoded end to end.
+JOINED = 1024
 _SPACE = r" \t\n\r\f\v"
 _RUN = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: How a byte-level vocabulary writes a blank.
+_BLANK = "\u0120"
 _OTHER_SPACE = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 #: (tokens, [(place, index of token)]) of a text: places where pre-tokens begin.
@@ -68,31 +76,65 @@ def json_encoder(path: str) -> tuple[Encoder, Callable[[list[str]], list[int]]]:
         made = json.load(f)
     before = made.get("pre_tokenizer") or {}
     plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-    if plain and not any(made.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")):
-        return one, by_runs(whole, [t["content"] for t in made.get("added_tokens", ())])
-    return one, whole
+    if not plain or any(made.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")):
+        return one, whole
+    vocabulary = tokenizer.get_vocab()
+    heads = np.zeros(max(vocabulary.values()) + 1, bool)
+    heads[[k for name, k in vocabulary.items() if name.startswith(_BLANK)]] = True
 
+    def joined(runs: list[str]) -> list[int]:
+        out: list[int] = []
+        parts = [runs[k : k + JOINED] for k in range(0, len(runs), JOINED)]
+        for part, e in zip(parts, tokenizer.encode_batch_fast(list(map("".join, parts)), add_special_tokens=False), strict=True):
+            begins = np.flatnonzero(heads[np.array(e.ids)])
+            out += np.diff(begins, append=len(e.ids)).tolist() if len(begins) == len(part) else whole(part)
+        return out
 
-def by_runs(whole: Callable[[list[str]], list[int]], special: list[str]) -> Callable[[list[str]], list[int]]:
-    """Counts of texts from those of their runs, which whole() gives."""
+    return by_runs(one, whole, joined, [t["content"] for t in made.get("added_tokens", ())])
+
+
+def _plain(run: str) -> bool:
+    """It is one blank and what is not white space."""
+    return run[0] == " " and run[1:2] > " "
+
+
+def by_runs(one: Encoder, whole: Callable[[list[str]], list[int]], joined: Callable[[list[str]], list[int]], special: list[str]) -> tuple[Encoder, Callable[[list[str]], list[int]]]:
+    """An encoder and counts of texts from the counts of their runs, which whole() gives,
+    and joined() for runs that begin with one blank."""
     odd = re.compile("|".join([_OTHER_SPACE, *map(re.escape, special)]))
     held: dict[str, int] = {}
 
-    def many(texts: list[str]) -> list[int]:
+    def cut(texts: list[str]) -> list[list[str]]:
+        """The runs of each text, all of them held; none of a text that is encoded whole."""
         if len(held) > RUNS:
             held.clear()
-        # a text without runs is encoded whole
         runs = [[] if odd.search(x) else _RUN.findall(x) for x in texts]
         new = set().union(*runs).difference(held)
         if long := {x for x in new if len(x) > RUN_CHARS}:
             runs = [r if long.isdisjoint(r) else [] for r in runs]
             new -= long
-        names = list(new)
-        held.update(zip(names, whole(names), strict=True))
+        for names, count in ([x for x in new if _plain(x)], joined), ([x for x in new if not _plain(x)], whole):
+            held.update(zip(names, count(names), strict=True))
+        return runs
+
+    def places(text: str) -> tuple[int, list[tuple[int, int]]]:
+        runs = cut([text])[0]
+        if not runs:
+            return one(text)
+        out, at, total = [], 0, 0
+        for run in runs:
+            if at and _plain(run):
+                out.append((at + 1, total))
+            at += len(run)
+            total += held[run]
+        return total, out
+
+    def many(texts: list[str]) -> list[int]:
+        runs = cut(texts)
         rest = iter(whole([x for x, r in zip(texts, runs, strict=True) if not r]))
         return [sum(map(held.__getitem__, r)) if r else next(rest) for r in runs]
 
-    return many
+    return places, many
 
 
 def model_encoder(path: str) -> tuple[Encoder, Callable[[list[str]], list[int]]]:
@@ -113,6 +155,7 @@ def model_encoder(path: str) -> tuple[Encoder, Callable[[list[str]], list[int]]]
     return one, lambda many: [len(x) for x in model.encode(many, num_threads=1)]
 
 
+@lru_cache(2)
 def load(path: str) -> tuple[Encoder, Callable[[list[str]], list[int]]]:
     """The library that a tokenizer file is for goes by its ending."""
     return model_encoder(path) if path.endswith(".model") else json_encoder(path)

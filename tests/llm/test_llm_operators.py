@@ -289,6 +289,16 @@ def test_texts_counted_by_runs_count_as_whole_ones(many):
     assert count(many) == [len(tokenizer.encode(x, add_special_tokens=False).ids) for x in many]
 
 
+@needs_tokenizers
+@given(st.lists(_ODD | st.sampled_from([" a", "  b", "\n c", " don't", " é,", " <|endoftext|>", "x" * 90]), min_size=20, max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_chunks_counted_by_runs_count_as_whole_texts(parts):
+    text = "".join(parts)
+    tokenizer, _ = _runs()
+    one = tokens.load(str(PUBLIC.path("byte_bpe_50k.json")))[0]
+    assert tokens.count_long(one, text, 60, 32, 16) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 @functools.cache
 def _runs():
     from tokenizers import Tokenizer
