@@ -60,15 +60,15 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
 
-def _descend(x: np.ndarray, y: np.ndarray, classes: int, rate: float, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Stochastic gradient descent on embeddings and softmax; their product, and the bias."""
+def _descend(x: np.ndarray, y: np.ndarray, own: np.ndarray, classes: int, rate: float, rng) -> tuple[np.ndarray, np.ndarray]:
+    """Stochastic gradient descent on embeddings and softmax, over the rows own; their product, and the bias."""
     embed = rng.normal(0, 0.05, (x.shape[1], WIDTH)).astype(np.float32)
     soft = rng.normal(0, 0.1, (WIDTH, classes)).astype(np.float32)
     bias = np.zeros(classes, np.float32)
     with np.errstate(all="ignore"):  # a rate that is too high shows in the result
         for epoch in range(EPOCHS):
             step = rate * (1 - epoch / EPOCHS)
-            order = rng.permutation(len(y))
+            order = own[rng.permutation(len(own))]
             for k in range(0, len(order), BATCH):
                 at = order[k : k + BATCH]
                 h = x[at] @ embed
@@ -89,12 +89,14 @@ def train(counts: np.ndarray, labels: list[str], seed: int = 7) -> Model:
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
     x = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    mean, scale = x.mean(0), 1 / (x.std(0) + DAMP)  # subwords differ in frequency by orders; the embeddings absorb it
-    x = ((x - mean) * scale).astype(np.float32)
+    mean = x.mean(0)
+    x -= mean
+    scale = 1 / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + DAMP)  # subwords differ in frequency by orders; the embeddings absorb it
+    x *= scale
     order = rng.permutation(len(y))
     held, own = order[: len(y) // 5], order[len(y) // 5 :]
     rate = RATE
-    while not np.isfinite((found := _descend(x[own], y[own], len(languages), rate, rng))[0]).all():
+    while not np.isfinite((found := _descend(x, y, own, len(languages), rate, rng))[0]).all():
         rate /= 4
     embed_soft, bias = found
     weights = scale[:, None] * embed_soft
@@ -120,7 +122,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sample = drawn(rows, "__id", F.col("__lang"), per_language)
     got = sample.mapInArrow(sparse_rows("__text", ["__id", "__lang"], _counts), f"__id {dict(rows.dtypes)['__id']}, __lang string, at binary, n binary").collect()
     got = sorted((r for r in got if r["at"]), key=lambda r: (r["__id"], r["at"], r["n"]))
-    return train(dense(got, BUCKETS), [r["__lang"] for r in got]) if got else None
+    if not got:
+        return None
+    labels, counts = [r["__lang"] for r in got], dense(got, BUCKETS)
+    del got  # the counts are much memory already
+    return train(counts, labels)
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -2,8 +2,8 @@
 
 At most PER_LABEL labelled texts of each label, whole texts, give hashed byte
 n-gram counts; a truncated singular value decomposition of their tf-idf rows
-gives the space. Beside the byte n-grams there is one
-count of words that equal the word before. The vectors of these texts (PER_LABEL x labels x WIDTH floats)
+gives the space. After the byte n-grams there is one count of words that equal
+the word before. The vectors of these texts (PER_LABEL x labels x WIDTH floats)
 are broadcast; every document is projected, multiplied with all of them block
 by block, and its NEIGHBOURS largest cosines vote with a weight that falls with
 the distance.
@@ -33,6 +33,8 @@ from loomgraph.llm.workers import ready
 
 PER_LABEL = 2000
 BUCKETS = 4096
+#: The buckets, and the count of repeated words.
+FEATURES = BUCKETS + 1
 SIZES = (1, 2, 3)
 WIDTH = 48
 NEIGHBOURS = 25
@@ -45,7 +47,7 @@ FALL = 0.05
 @dataclass
 class Model:
     idf: np.ndarray
-    space: np.ndarray  # buckets x WIDTH
+    space: np.ndarray  # FEATURES x WIDTH
     vectors: np.ndarray  # sample x WIDTH
     labels: np.ndarray
     prior: float
@@ -62,12 +64,13 @@ class Model:
 
 
 def _counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    out = gram_counts(data, offsets, SIZES, BUCKETS, False)
+    out = np.empty((len(offsets) - 1, FEATURES), np.float32)
+    out[:, :BUCKETS] = gram_counts(data, offsets, SIZES, BUCKETS, False)
     names, rows, _ = words(data, offsets)
     again = np.zeros(len(names) + 1, np.int64)
     again[2:] = np.cumsum(names[1:] == names[:-1])
     first = np.minimum(rows[:-1] + 1, rows[1:])
-    out[:, 0] = REPEAT * (again[rows[1:]] - again[first])
+    out[:, BUCKETS] = REPEAT * (again[rows[1:]] - again[first])
     return out
 
 
@@ -101,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.join(F.broadcast(sample), F.col("__id") == F.col("__lid")).select("__id", "__text", "__label")
     got = rows.mapInArrow(sparse_rows("__text", ["__id", "__label"], _counts), f"__id {dict(rows.dtypes)['__id']}, __label double, at binary, n binary").collect()
     got = sorted(got, key=lambda r: (r["__id"], r["__label"], r["at"], r["n"]))
-    return train(dense(got, BUCKETS), np.array([r["__label"] for r in got])) if got else None
+    return train(dense(got, FEATURES), np.array([r["__label"] for r in got])) if got else None
 
 
 def _score(model, text_col: str, least: float, names: list[str]):

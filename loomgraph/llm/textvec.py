@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text taken at a time; a longer text is taken alone.
 SLICE_BYTES = 1 << 20
+#: Bytes whose runs are counted at a time, of a text of any length.
+GRAM_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -121,21 +123,23 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], b
     if fold:
         raw = _LOWER[raw]
         raw = np.where(_SPACE[raw] | ((raw >= 48) & (raw < 58)), np.uint8(32), raw)
-    raw = raw.astype(np.uint32)
-    row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(offsets))
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets))
     out = np.zeros(rows * buckets, np.int64)
-    for size in sizes:
-        n = len(raw) - size + 1
-        if n <= 0:
-            continue
-        h = np.full(n, size * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
-        for k in range(size):
-            h = (h ^ raw[k : k + n]) * np.uint32(0x01000193)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        h ^= h >> np.uint32(13)
-        at = row[:n] * buckets + (h & np.uint32(buckets - 1))
-        if rows > 1:
-            at = at[row[:n] == row[size - 1 :]]
-        out += np.bincount(at, minlength=rows * buckets)
+    for begin in range(0, len(raw), GRAM_BYTES):
+        part = raw[begin : begin + GRAM_BYTES + max(sizes) - 1].astype(np.uint32)
+        own = row[begin : begin + len(part)]
+        for size in sizes:
+            n = min(GRAM_BYTES, len(part) - size + 1)
+            if n <= 0:
+                continue
+            h = np.full(n, size * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+            for k in range(size):
+                h = (h ^ part[k : k + n]) * np.uint32(0x01000193)
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x2C1B3C6D)
+            h ^= h >> np.uint32(13)
+            at = own[:n].astype(np.int64) * buckets + (h & np.uint32(buckets - 1))
+            if rows > 1:
+                at = at[own[:n] == own[size - 1 : size - 1 + n]]
+            out += np.bincount(at, minlength=rows * buckets)
     return out.reshape(rows, buckets).astype(np.float32)
