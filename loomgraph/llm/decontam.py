@@ -9,13 +9,19 @@ n-grams cost little: no alignment scores more than the item's words that the
 text holds, so most of what they open is left before it is aligned. A copy
 without one whole n-gram of its item is not found.
 
+Words are runs of ASCII letters and digits and of characters beyond ASCII that are
+no punctuation. In scripts without blanks (ideographs, kana, Thai, Lao, Khmer,
+Burmese) every two characters in a row are a word: single ones are so few that
+texts with nothing in common would align.
+
 The index of the benchmark is broadcast in blocks of at most BLOCK_ITEMS items,
 so a larger benchmark takes more passes, never more memory.
 
 Nulls and ties. A null text is empty and holds nothing; a null item text or id
 is no item. Of equal scores of an item in a text the first place counts. Rows
 are judged one by one, so ids may repeat or be null. An item of fewer words than
-a seed is found only in a text that has just its words. Empty tables give no
+a seed is found only in a text that has just its words, as texts use one or two
+words of any item without holding it. Empty tables give no
 matches and drop nothing. Other columns stay as they are.
 """
 
@@ -51,7 +57,7 @@ class Index:
 def build(items: list[tuple[int, str]], width: int = SEED) -> Index:
     column = pa.array([t for _, t in items], pa.large_string())
     data, offsets = texts(column)
-    names, rows, _ = words(data, offsets, WORD_GAPS)
+    names, rows, _ = words(data, offsets, WORD_GAPS, pairs=True)
     runs = list(shingles(names, rows, width))
     gram = np.concatenate([*runs, np.zeros(0, np.uint64)])
     item = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
@@ -78,7 +84,7 @@ def _hits(index: Index, column: pa.Array, width: int) -> Iterator[tuple[int, np.
     """(row, the row's words, n-grams of the index that it holds, their places) for rows with any."""
     data, offsets = texts(column)
     for i, j in slices(offsets):
-        names, rows, _ = words(data, offsets[i : j + 1], WORD_GAPS)
+        names, rows, _ = words(data, offsets[i : j + 1], WORD_GAPS, pairs=True)
         for k, run in enumerate(shingles(names, rows, width)):
             if not len(run) or not len(index.grams):
                 continue

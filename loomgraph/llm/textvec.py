@@ -25,6 +25,9 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: What parts words where only digits, letters and characters beyond ASCII count.
 WORD_GAPS = np.ones(256, bool)
 WORD_GAPS[48:58] = WORD_GAPS[65:91] = WORD_GAPS[97:123] = WORD_GAPS[128:] = False
+#: Code points, [from, to) and so on: scripts that are written without blanks, and punctuation beyond ASCII.
+_UNSPACED = np.array([0x0E00, 0x0F00, 0x1000, 0x10A0, 0x1780, 0x1800, 0x3040, 0x3100, 0x3400, 0xA000, 0xF900, 0xFB00, 0x20000, 0x40000])
+_MARKS = np.array([0x2010, 0x205F, 0x3000, 0x3040, 0xFF01, 0xFF10, 0xFF1A, 0xFF21, 0xFF3B, 0xFF41, 0xFF5B, 0xFF66])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BYTE = np.random.RandomState(20240229).randint(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,9 +71,25 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unspaced(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where characters of scripts without blanks begin and end; inside is cleared at punctuation beyond ASCII."""
+    lead = np.flatnonzero(raw >= 0xE0)
+    head = raw[lead].astype(np.int64)
+    one, two, three = (raw[np.minimum(lead + k, len(raw) - 1)].astype(np.int64) & 63 for k in (1, 2, 3))
+    wide = head >= 0xF0
+    code = np.where(wide, (head & 7) << 18 | one << 12 | two << 6 | three, (head & 15) << 12 | one << 6 | two)
+    marks = lead[np.searchsorted(_MARKS, code, "right") % 2 == 1]
+    for k in range(3):
+        inside[marks + k] = False
+    own = np.searchsorted(_UNSPACED, code, "right") % 2 == 1
+    return lead[own], lead[own] + np.where(wide[own], 4, 3)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit names of the words (runs without a byte of gaps, by default ASCII
-    white space; A-Z folded), the first word of each row, and where each starts in data."""
+    white space; A-Z folded), the first word of each row, and where each starts in data.
+    pairs: in scripts that are written without blanks every two characters in a
+    row are a word, or one that stands alone; punctuation beyond ASCII is a gap."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     raw = data[lo:hi]
     n = len(raw)
@@ -79,11 +98,23 @@ def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> t
     inside = ~gaps[raw]
     begins = np.zeros(n + 1, bool)
     begins[offsets[:-1] - lo] = True
+    joined = np.zeros(0, np.int64)
+    if pairs:
+        own, after = _unspaced(raw, inside)
+        joined = own[1:][(own[1:] == after[:-1]) & ~begins[own[1:]]]
+        begins[own] = begins[after] = True
     first = inside.copy()
     first[1:] &= ~inside[:-1] | begins[1:n]
     last = inside.copy()
     last[:-1] &= ~inside[1:] | begins[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if len(joined):
+        second = np.searchsorted(starts, joined)
+        ends[second - 1] = ends[second]
+        single = np.ones(len(starts), bool)
+        single[second] = False  # the last of a run is in the pair before it
+        single[second - 1] = True
+        starts, ends = starts[single], ends[single]
     up, down = _tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[raw]] * up[:n], out=total[1:])

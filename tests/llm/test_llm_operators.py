@@ -261,6 +261,48 @@ def test_copies_with_every_few_words_changed_are_found(spark, every):
     assert decontam.without_leaks(docs, bench).count() == 0
 
 
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+
+
+def plain_pairs(text):
+    out = []
+    for run in re.findall(f"[{UNSPACED}]+|[0-9a-z\x80-\U0010ffff]+?(?=[{UNSPACED}]|[^0-9a-z\x80-\U0010ffff]|$)", re.sub("[\u2010-\u205e\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]", " ", text.lower())):
+        out += [run[k : k + 2] for k in range(max(1, len(run) - 1))] if re.match(f"[{UNSPACED}]", run) else [run]
+    return out
+
+
+@given(st.lists(st.text("aB9 é日本語。テスト\u0e01\u0e32ภ😀𠀀“”，한글", max_size=14), min_size=1, max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_words_of_scripts_without_blanks_are_pairs(texts):
+    names, rows, _ = textvec.words(*textvec.texts(pa.array(texts)), textvec.WORD_GAPS, pairs=True)
+    plain = [plain_pairs(t) for t in texts]
+    assert np.diff(rows).tolist() == [len(p) for p in plain]
+    known = {}
+    for word, name in zip((w for p in plain for w in p), names.tolist(), strict=True):
+        assert known.setdefault(word, name) == name
+    assert len(set(known.values())) == len(known)
+
+
+def unspaced(seed, n, first=0x4E00, kinds=600):
+    r = random.Random(seed)
+    return "".join(chr(first + int(kinds * r.random() ** 2)) for _ in range(n))
+
+
+@pytest.mark.parametrize(("first", "kinds"), [(0x4E00, 600), (0x3041, 80), (0x0E01, 46)])
+def test_leaks_in_scripts_without_blanks(spark, first, kinds):
+    """Whole, and with every twelfth character replaced, inside longer texts; texts without an item stay."""
+    made = functools.partial(unspaced, first=first, kinds=kinds)
+    items = [(k, made(5000 + k, 60)) for k in range(6)]
+    edited = ["".join("另" if i % 12 == 11 else c for i, c in enumerate(t)) for _, t in items]
+    rows = [(k, made(6000 + k, 300) + t + "。" + made(7000 + k, 300), None, None, 0) for k, t in items]
+    rows += [(10 + k, made(6100 + k, 300) + t + made(7100 + k, 300), None, None, 0) for k, t in enumerate(edited)]
+    rows += [(20 + k, made(6200 + k, 900), None, None, 0) for k in range(20)]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.find_leaks(docs, bench).collect()}
+    assert set(got) == {(k, k) for k in range(6)} | {(10 + k, k) for k in range(6)} and all(got[k, k] == 1 for k in range(6))
+    assert {r["doc_id"] for r in decontam.without_leaks(docs, bench).collect()} == set(range(20, 40))
+
+
 # 6
 
 PUBLIC = pytest.importorskip("public_tokenizers") if importlib.util.find_spec("public_tokenizers") else None
