@@ -111,11 +111,16 @@ def mapped(findings: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def resolve_rule(findings: DataFrame, rules: DataFrame, name: str = "check_id") -> DataFrame:
     """findings with rule_id: the rule of that id, else the longest rule id that is a
-    suffix, else the last dotted part. Each distinct name is resolved once; its suffixes
-    are joined by equality with the ids, so no pair of name and rule is tried in vain."""
+    suffix, else the last dotted part. Each distinct name is resolved once: its suffixes
+    of the lengths that rule ids have meet the ids by equality. Rules are broadcast, names
+    never are, however few of them there are."""
+    ids = rules.select(F.col("id").alias("__r")).where("__r <> ''").distinct()
+    lengths = ids.agg(F.collect_set(F.length("__r")).alias("__ls"))
     names = findings.select(F.col(name).alias("__f")).where("__f is not null").distinct()
-    tails = names.select("__f", F.explode(F.transform(F.sequence(F.lit(1), F.length("__f")), lambda k: F.substr(F.col("__f"), k))).alias("__t")).where("__t <> ''")
-    best = tails.join(rules.select(F.col("id").alias("__r")), F.col("__t") == F.col("__r")).groupBy(F.col("__f").alias("__g")).agg(F.max_by("__r", F.length("__r")).alias("__best"))
+    tails = names.join(F.broadcast(lengths)).select("__f", F.explode("__ls").alias("__l")).where(F.col("__l") <= F.length("__f"))
+    tails = tails.select("__f", F.substr(F.col("__f"), F.length("__f") - F.col("__l") + 1).alias("__t"))
+    best = tails.join(F.broadcast(ids), F.col("__t") == F.col("__r")).groupBy(F.col("__f").alias("__g")).agg(F.max(F.struct(F.length("__r").alias("l"), F.col("__r").alias("r"))).alias("__b"))
+    best = best.select("__g", F.col("__b.r").alias("__best")).hint("merge")
     return findings.join(best, F.col(name) == F.col("__g"), "left").withColumn("rule_id", F.coalesce("__best", F.element_at(F.split(name, r"\."), -1))).drop("__g", "__best")
 
 
