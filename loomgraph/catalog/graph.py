@@ -78,8 +78,8 @@ def match_pairs(spark, d) -> DataFrame:
 
 @query("select a.p_partkey as a, b.p_partkey as b from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey <> b.p_partkey")
 def shared_property_pairs(spark, d) -> DataFrame:
-    p = trade_graph(spark, d).nodes("Part")
-    return T.paired(p, p, ["brand", "size"]).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    p = trade_graph(spark, d).nodes("Part").select("key", "brand", "size")
+    return T.paired(p, p, ["brand", "size"], "key").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
 
 
 @query("select 'Supplier:' || s_suppkey as id from supplier where exists (select 1 from lineitem join orders on o_orderkey = l_orderkey where l_suppkey = s_suppkey and o_orderpriority = '1-URGENT' and o_totalprice > 495000)")

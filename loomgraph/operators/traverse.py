@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from loomgraph.model import PropertyGraph
 from loomgraph.scratch import table, work
 
+#: Rows of a key that one side brings to a block of a many-to-many join.
+BLOCK = 4096
+
 
 @dataclass(frozen=True)
 class Step:
@@ -123,6 +126,29 @@ def bindings(left: DataFrame, graph: PropertyGraph, step: Step, right: DataFrame
     return own.join(links, F.col(f"{a}_id") == F.col("source")).join(other, F.col("target") == F.col(f"{b}_id")).drop("source", "target")
 
 
+def many_to_many(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], rows: int = BLOCK) -> DataFrame:
+    """An inner join on equal columns (of left, of right) whose keys have many rows on
+    both sides. A key's rows are dealt to blocks of about `rows` on either side, and a
+    block of the left meets one of the right in a task's turn, so that no task has more
+    of a large key, and none holds more of it, than that. All pairs are made."""
+    parts = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = [f"__k{k}" for k in range(len(on))]
+    # maps and variants have no hash
+    hashed = lambda df: F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))
+    own, other = (df.select(*(F.col(c).alias(k) for c, k in zip(cols, keys, strict=True)), hashed(df).alias("__h"), F.struct(*df.columns).alias("__row")) for df, cols in ((left, [a for a, _ in on]), (right, [b for _, b in on])))
+    sizes = [df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(n)) for df, n in ((own, "__ls"), (other, "__rs"))]
+    sizes = sizes[0].join(sizes[1], keys)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod("__h", F.col(n)).cast("int")
+    own = own.join(sizes, keys).select(*keys, "__row", dealt("__ls").alias("__l"), all_of("__rs").alias("__r"))
+    packs = other.join(sizes, keys).groupBy(*keys, dealt("__rs").alias("__r"), "__ls").agg(F.collect_list("__row").alias("__pack"))
+    packs = packs.select(*keys, "__r", "__pack", all_of("__ls").alias("__l"))
+    # a number of its own keeps small tables with many pairs from being joined in one task
+    at = [*keys, "__l", "__r"]
+    met = own.repartition(parts, *at).join(packs.repartition(parts, *at), at).select("__row", F.explode("__pack").alias("__other"))
+    return met.select(*(F.col(f"__row.`{c}`").alias(c) for c in left.columns), *(F.col(f"__other.`{c}`").alias(c) for c in right.columns))
+
+
 def paired(left: DataFrame, right: DataFrame, on: list[str], differ: str = "id", a: str = "a", b: str = "b") -> DataFrame:
     """Comma patterns with an inequality. They are joined on shared keys: without
     any, the query is a product of all rows and is refused."""
@@ -130,8 +156,7 @@ def paired(left: DataFrame, right: DataFrame, on: list[str], differ: str = "id",
         raise ValueError("a comma pattern needs a shared property: a product of all rows is not run")
     own = left.select(*(F.col(c).alias(f"{a}_{c}") for c in left.columns))
     other = right.select(*(F.col(c).alias(f"{b}_{c}") for c in right.columns))
-    keys = [F.col(f"{a}_{k}") == F.col(f"{b}_{k}") for k in on]
-    return own.join(other, keys).where(F.col(f"{a}_{differ}") != F.col(f"{b}_{differ}"))
+    return many_to_many(own, other, [(f"{a}_{k}", f"{b}_{k}") for k in on]).where(F.col(f"{a}_{differ}") != F.col(f"{b}_{differ}"))
 
 
 def flow_paths(graph: PropertyGraph, sources: DataFrame, targets: DataFrame, edge_types: tuple[str, ...], max_depth: int = 5, direction: str = "out", blocked: DataFrame | None = None) -> DataFrame:
