@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.model import NODE_COLUMNS, PropertyGraph
 from loomgraph.operators import rules as R
-from loomgraph.operators.traverse import Step, flow_paths, influencers, joined_pairs, with_bounded_path, with_edge, with_path
+from loomgraph.operators.traverse import Step, flow_paths, influencers, joined_pairs, many_to_many, with_bounded_path, with_edge, with_path
 from loomgraph.plans import graphql as G
 from loomgraph.plans.plan import EdgeSpec, FlowSpec, PathSpec, Plan, apply_hints
 from loomgraph.plans.text import parse
@@ -178,10 +178,12 @@ def _hop(graph: PropertyGraph, edge: G.EdgePattern, left: DataFrame, right: Data
     return links if (edge.least, edge.most) == (1, 1) else joined_pairs(links, left, right, edge.least, edge.most)
 
 
-def _bind(graph: PropertyGraph, chain: G.Chain, bound: DataFrame | None, names: set[str], rows: bool = True) -> tuple[DataFrame, set[str]]:
-    """Joins a chain onto bindings; its first name may be bound already."""
+def _bind(graph: PropertyGraph, chain: G.Chain, bound: DataFrame | None, names: dict[str, set], rows: bool = True) -> tuple[DataFrame, dict[str, set]]:
+    """Joins a chain onto bindings; its first name may be bound already. names: for each
+    name the edges (type, direction) that it was reached by."""
     fresh = iter(f"_{k}" for k in range(len(chain.nodes)))
     labels = [n.name or next(fresh) for n in chain.nodes]
+    names = {x: set(reached) for x, reached in names.items()}
     own = bound
     if labels[0] not in names:
         first = _scoped(_pattern_nodes(graph, chain.nodes[0]), labels[0])
@@ -189,10 +191,17 @@ def _bind(graph: PropertyGraph, chain: G.Chain, bound: DataFrame | None, names:
             raise ValueError(f"the pattern of {labels[0]} shares no name with the one before")
         own = first
     for k, edge in enumerate(chain.edges):
+        at, to = f"{labels[k]}__id", f"{labels[k + 1]}__id"
         node = _scoped(_pattern_nodes(graph, chain.nodes[k + 1]), labels[k + 1])
-        hop = _hop(graph, edge, own.select(F.col(f"{labels[k]}__id").alias("id")), node.select(F.col(f"{labels[k + 1]}__id").alias("id")))
-        own = own.join(hop, F.col(f"{labels[k]}__id") == F.col("source")).join(node, F.col("target") == F.col(f"{labels[k + 1]}__id")).drop("source", "target")
-    return own, names | set(labels)
+        hop = _hop(graph, edge, own.select(F.col(at).alias("id")), node.select(F.col(to).alias("id")))
+        back = "in" if edge.direction == "out" else "out"
+        if {(t, back) for t in edge.types} & names.get(labels[k], set()):
+            # back over the edges that led here: as many rows on the one side as on the other
+            own = many_to_many(own, hop.join(node, F.col("target") == F.col(to)).drop("target"), [(at, "source")]).drop("source")
+        else:
+            own = own.join(hop, F.col(at) == F.col("source")).join(node, F.col("target") == F.col(to)).drop("source", "target")
+        names.setdefault(labels[k + 1], set()).update((t, edge.direction) for t in edge.types)
+    return own, names | {x: names.get(x, set()) for x in labels}
 
 
 def _exists(df: DataFrame, graph: PropertyGraph, item: Any, names: set[str]) -> DataFrame:
@@ -201,7 +210,7 @@ def _exists(df: DataFrame, graph: PropertyGraph, item: Any, names: set[str]) ->
     first = ex.chain.nodes[0].name
     if first not in names:
         raise ValueError(f"{first} is not bound by MATCH or FIND")
-    inner, _ = _bind(graph, replace(ex.chain, nodes=(replace(ex.chain.nodes[0], name="__x"), *ex.chain.nodes[1:])), None, set())
+    inner, _ = _bind(graph, replace(ex.chain, nodes=(replace(ex.chain.nodes[0], name="__x"), *ex.chain.nodes[1:])), None, {})
     if ex.where is not None:
         inner = inner.where(compile_tree(_bound(ex.where), inner.columns))
     keys = inner.select(F.col("__x__id").alias("__k"))
@@ -211,7 +220,7 @@ def _exists(df: DataFrame, graph: PropertyGraph, item: Any, names: set[str]) ->
 
 def _run_match(q: G.MatchQuery, graph: PropertyGraph) -> DataFrame:
     plain, patterns = _split(q.where)
-    df, names = None, set()
+    df, names = None, {}
     for chain in q.chains:
         first = chain.nodes[0].name
         if df is not None and first not in names and not chain.edges:
@@ -225,7 +234,7 @@ def _run_match(q: G.MatchQuery, graph: PropertyGraph) -> DataFrame:
     return _returned(df, q.returns, q.limit, sorted(n for n in names if not n.startswith("_")))
 
 
-def _shared(df: DataFrame, graph: PropertyGraph, chain: G.Chain, plain: list, names: set[str]) -> tuple[DataFrame, set[str]]:
+def _shared(df: DataFrame, graph: PropertyGraph, chain: G.Chain, plain: list, names: dict[str, set]) -> tuple[DataFrame, dict[str, set]]:
     """A comma pattern: joined on the equalities that WHERE gives; a product of all rows is refused."""
     name = chain.nodes[0].name
     other = _scoped(_pattern_nodes(graph, chain.nodes[0]), name)
@@ -233,11 +242,11 @@ def _shared(df: DataFrame, graph: PropertyGraph, chain: G.Chain, plain: list, na
     for c in plain:
         if isinstance(c, Condition) and isinstance(c.value, G.Property) and c.op == "eq":
             sides = {c.property.split(".")[0], c.value.name.split(".")[0]}
-            if name in sides and sides - {name} <= names:
+            if name in sides and sides - {name} <= set(names):
                 keys.append(F.col(_column(c.property)) == F.col(_column(c.value.name)))
     if not keys:
         raise ValueError(f"({name}) needs an equality with a name before it: a product of all rows is not run")
-    return df.join(other, keys), names | {name}
+    return df.join(other, keys), names | {name: set()}
 
 
 def _returned(df: DataFrame, returns: list[str], limit: int | None, names: list[str]) -> DataFrame:
