@@ -85,6 +85,29 @@ def reachable(graph: PropertyGraph, seeds: DataFrame, edge_types: tuple[str, ...
     return front.select(F.col("source").alias("id"), F.lit(0).alias("depth")).where(F.lit(False)) if found is None else found
 
 
+def _around(links: DataFrame, seeds: DataFrame, ends: DataFrame, most: int, made: list, blocked: DataFrame | None = None) -> DataFrame:
+    """The distinct edges, but those into blocked nodes, that are within `most` edges of
+    the seeds, or of the ends where these are fewer: every walk from a seed to an end
+    keeps to them. Each node's edges are taken once; all edges are read once a depth and
+    only move if the nodes they meet are many."""
+    seeds, ends = (table(x.select("id").distinct(), "ends", made) for x in (seeds, ends))
+    near, far, front = ("source", "target", seeds) if seeds.count() <= ends.count() else ("target", "source", ends)
+    front, seen, out = front.withColumnRenamed("id", near), None, None
+    for depth in range(1, most + 1):
+        own = table(links.join(front, near, "left_semi").select("source", "target").distinct(), "around", made)
+        if blocked is not None:
+            hit = blocked.join(own.select(F.col("target").alias("__t")).distinct(), F.col("id") == F.col("__t"), "left_semi").select(F.col("id").alias("target"))
+            own = table(own.join(table(hit.distinct(), "blocked", made), "target", "left_anti").select("source", "target"), "around", made)
+        out = own if out is None else out.unionByName(own)
+        if depth == most:
+            break
+        seen = front if seen is None else seen.unionByName(front)
+        front = table(own.select(F.col(far).alias(near)).distinct().join(seen, near, "left_anti"), "front", made)
+        if front.isEmpty():
+            break
+    return out
+
+
 def _within(links: DataFrame, ends: DataFrame, most: int, made: list) -> list[DataFrame]:
     """For k from 0 to most: the nodes (target) from which an end is at most k edges away."""
     out = [table(ends.select(F.col("id").alias("target")).distinct(), "within", made)]
@@ -98,6 +121,7 @@ def joined_pairs(links: DataFrame, seeds: DataFrame, ends: DataFrame, least: int
     """(source, target): a seed and an end that a walk of least to most edges joins.
     Walks start at the seeds and only take edges from which an end is in reach."""
     with work() as made:
+        links = _around(links, seeds, ends, most, made)
         near = _within(links, ends, most - 1, made)
         walk = seeds.select(F.col("id").alias("source"), F.col("id").alias("at")).distinct()
         out: DataFrame | None = None
@@ -163,9 +187,8 @@ def flow_paths(graph: PropertyGraph, sources: DataFrame, targets: DataFrame, edg
     """(source, target, depth, path): simple paths from a source to a target that
     pass no blocked node. Paths grow one edge a step, so max_depth is a bound."""
     links = graph.edges(*edge_types, direction=direction).select("source", "target")
-    if blocked is not None:
-        links = links.join(blocked.select(F.col("id").alias("target")), "target", "left_anti")
     with work() as made:
+        links = _around(links, sources, targets, max_depth, made, blocked)
         near = _within(links, targets, max_depth - 1, made)
         walk = sources.select(F.col("id").alias("source"), F.col("id").alias("target"), F.array("id").alias("path"))
         out: DataFrame | None = None
