@@ -126,14 +126,23 @@ def resolve_rule(findings: DataFrame, rules: DataFrame, name: str = "check_id")
 
 def jaccard_pairs(sets: DataFrame, id_: str, items: str, least: float = 0.5) -> DataFrame:
     """(a, b, jaccard) of sets at least that alike, by prefix filtering: two such sets
-    share one of the rarest items that fill 1 - least of either, so only those meet."""
+    share one of the rarest items that fill 1 - least of either, so only those meet. Of
+    those that meet only such go on to their full sets as may share enough: by the items
+    after the first shared one, and by items whose bit of a 64-bit summary the other
+    lacks. Neither bound drops a pair that is alike."""
     rows = sets.select(F.col(id_).alias("i"), F.array_distinct(items).alias("x")).where(F.size("x") > 0)
     each = rows.select("i", F.size("x").alias("n"), F.explode("x").alias("t"))
-    rank = Window.partitionBy("i").orderBy("df", "t")
+    own = Window.partitionBy("i")
     counted = each.join(each.groupBy("t").agg(F.count("*").alias("df")), "t")
-    heads = counted.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("i", "t", "n")
-    other = heads.select(F.col("i").alias("j"), F.col("t").alias("u"), F.col("n").alias("m"))
-    met = heads.join(other, (F.col("t") == F.col("u")) & (F.col("i") < F.col("j")) & (F.least("n", "m") >= F.greatest("n", "m") * least)).select("i", "j").distinct()
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(t), 64) as int))")
+    ranked = counted.withColumn("r", F.row_number().over(own.orderBy("df", "t"))).withColumn("bits", F.bit_or(bit).over(own))
+    heads = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("i", "t", "n", "r", "bits")
+    other = heads.select(F.col("i").alias("j"), F.col("t").alias("u"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("bits").alias("cits"))
+    after = F.least(F.col("n") - F.col("r"), F.col("m") - F.col("s")) + 1
+    lacks = lambda p, q: F.bit_count(F.col(p).bitwiseAND(F.bitwise_not(q)))
+    most = F.least(after, F.col("n") - lacks("bits", "cits"), F.col("m") - lacks("cits", "bits"))
+    enough = most * (1 + least) >= (F.col("n") + F.col("m")) * least - 1e-9
+    met = heads.join(other, (F.col("t") == F.col("u")) & (F.col("i") < F.col("j")) & (F.least("n", "m") >= F.greatest("n", "m") * least) & enough).select("i", "j").distinct()
     sized = met.join(rows, "i").join(rows.select(F.col("i").alias("j"), F.col("x").alias("y")), "j")
     common = F.size(F.array_intersect("x", "y"))
     return sized.select(F.col("i").alias("a"), F.col("j").alias("b"), (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).where(F.col("jaccard") >= least)
