@@ -173,7 +173,9 @@ def count_long(encode: Encoder, text: str, chunk: int = CHUNK_CHARS, overlap: in
         middle = begin + chunk
         right = encode(text[middle : middle + chunk + overlap])
         there = {p + middle: k for p, k in right[1]}
-        joint = next(((k, there[p + begin]) for p, k in left[1] if k >= skip and p + begin in there and p + begin <= end - margin), None)
+        # a widened left may end after the right, and either may end inside a special string
+        sure = min(end, middle + chunk + overlap) - margin
+        joint = next(((k, there[p + begin]) for p, k in left[1] if k >= skip and p + begin in there and p + begin <= sure), None)
         if joint is None:
             extra, left = extra * 4, None  # a wider overlap, no new place
             continue

@@ -341,6 +341,17 @@ def test_chunks_counted_by_runs_count_as_whole_texts(parts):
     assert tokens.count_long(one, text, 60, 32, 16) == len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+@needs_tokenizers
+@pytest.mark.parametrize("rest", range(40, 181, 20))
+def test_chunks_that_end_in_a_special_string_count_as_whole_texts(rest):
+    """The right chunk ends inside it, the left, widened, after it."""
+    tokenizer, _ = _runs()
+    one = tokens.load(str(PUBLIC.path("byte_bpe_50k.json")))[0]
+    text = "0" * 121 + "\r" + "0" * 21 + " <|endoftext|>" + "0" * rest
+    assert tokens.count_long(one, text, 60, 32, 16) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+
 @functools.cache
 def _runs():
     from tokenizers import Tokenizer
